@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, urltree
+from . import langid, mixing, quality, sharding, urltree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,14 +16,29 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge(_table(spark, sf_dir, "pages"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = langid.train(docs, ~held_out)
+    found = langid.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_positions")).alias("taken"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    out = quality.judge(docs, model, keep=["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_quality")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens", "unit")
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op8_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_url_filter, op6_language_id, op8_mixing, op9_quality_rules, op10_sharding)}
