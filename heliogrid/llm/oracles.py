@@ -58,4 +58,18 @@ SELECT rt.id AS page_id, rt.host, rt.path, rt.rule,
        coalesce(rt.by_rule, CASE WHEN v.purity >= 0.5::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, rt.template, v.purity
 FROM rt LEFT JOIN v USING (host, template)"""
 
-ORACLE_SQL = {"op3_url_filter": OP3, "op8_mixing": OP8}
+OP4 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+             ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * common >= 80 * (x.n + y.n - common)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT r.doc_id, u.b FROM reach r JOIN u ON r.c = u.a)
+SELECT n.doc_id, n.n AS n_shingles, min(reach.c) AS component_id FROM n JOIN reach ON n.doc_id = reach.doc_id GROUP BY ALL"""
+
+ORACLE_SQL = {"op4_ngram_jaccard": OP4, "op3_url_filter": OP3, "op8_mixing": OP8}
