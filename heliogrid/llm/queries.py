@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, quality, sharding, urltree
+from . import jaccard, langid, mixing, packing, quality, sharding, urltree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    cut = packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    placed = packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")), carry=("ids_crc32",))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part_bound")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -45,4 +53,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens", "unit")
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_ngram_jaccard, op6_language_id, op8_mixing, op9_quality_rules, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_url_filter, op4_ngram_jaccard, op5_best_fit_packing, op6_language_id, op8_mixing, op9_quality_rules, op10_sharding)}
