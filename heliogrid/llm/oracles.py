@@ -72,4 +72,23 @@ u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reach AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT r.doc_id, u.b FROM reach r JOIN u ON r.c = u.a)
 SELECT n.doc_id, n.n AS n_shingles, min(reach.c) AS component_id FROM n JOIN reach ON n.doc_id = reach.doc_id GROUP BY ALL"""
 
-ORACLE_SQL = {"op4_ngram_jaccard": OP4, "op3_url_filter": OP3, "op8_mixing": OP8}
+OP1 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT CAST(sum(len(ws)) AS BIGINT) AS n FROM d),
+p AS (SELECT doc_id, len(ws) AS n_words, unnest(range(1, len(ws) + 1)) AS i, ws FROM d),
+g AS (SELECT doc_id, n_words, i, ws[i] AS w1, CASE WHEN i > 1 THEN ws[i - 1] || ' ' || ws[i] END AS w2,
+             CASE WHEN i > 2 THEN ws[i - 2] || ' ' || ws[i - 1] || ' ' || ws[i] END AS w3 FROM p),
+c AS (SELECT doc_id, n_words, i,
+        count(*) OVER (PARTITION BY w1) - count(*) OVER (PARTITION BY w1, doc_id) AS c1,
+        CASE WHEN w2 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY w2) - count(*) OVER (PARTITION BY w2, doc_id) END AS c2,
+        CASE WHEN w3 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY w3) - count(*) OVER (PARTITION BY w3, doc_id) END AS c3 FROM g),
+v AS (SELECT *, lag(c1, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS v1, lag(c2, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS v2 FROM c),
+s AS (SELECT v.doc_id, c1, c2, c3,
+        CASE WHEN c3 > 0 THEN ln(c3::DOUBLE / v2) WHEN c2 > 0 THEN ln(0.4::DOUBLE * c2 / v1)
+             WHEN c1 > 0 THEN ln(0.4::DOUBLE * 0.4::DOUBLE * c1 / (t.n - n_words)) ELSE ln(0.4::DOUBLE * 0.4::DOUBLE / (t.n - n_words + 1.0::DOUBLE)) END AS x
+      FROM v, t),
+r AS (SELECT doc_id, sum(x) AS x, count(*) FILTER (c3 > 0) AS n3, count(*) FILTER (c3 <= 0 AND c2 > 0) AS n2, count(*) FILTER (c3 <= 0 AND c2 <= 0 AND c1 > 0) AS n1 FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, round(coalesce(x, 0.0::DOUBLE), 6) AS log_score, coalesce(n3, 0) AS n_trigram, coalesce(n2, 0) AS n_bigram, coalesce(n1, 0) AS n_unigram
+FROM d LEFT JOIN r USING (doc_id)"""
+
+ORACLE_SQL = {"op1_lm_scoring": OP1, "op4_ngram_jaccard": OP4, "op3_url_filter": OP3, "op8_mixing": OP8}
