@@ -91,4 +91,16 @@ r AS (SELECT doc_id, sum(x) AS x, count(*) FILTER (c3 > 0) AS n3, count(*) FILTE
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, round(coalesce(x, 0.0::DOUBLE), 6) AS log_score, coalesce(n3, 0) AS n_trigram, coalesce(n2, 0) AS n_bigram, coalesce(n1, 0) AS n_unigram
 FROM d LEFT JOIN r USING (doc_id)"""
 
-ORACLE_SQL = {"op1_lm_scoring": OP1, "op4_ngram_jaccard": OP4, "op3_url_filter": OP3, "op8_mixing": OP8}
+OP2 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+g AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+      WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9::DOUBLE),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+reach AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN l ON r.c = l.a),
+c AS (SELECT vec_id, min(c) AS component_id FROM reach GROUP BY vec_id)
+SELECT c.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.a"""
+
+ORACLE_SQL = {"op1_lm_scoring": OP1, "op2_embedding_near_dedup": OP2, "op4_ngram_jaccard": OP4, "op3_url_filter": OP3, "op8_mixing": OP8}

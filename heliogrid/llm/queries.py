@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, lm, mixing, packing, quality, sharding, urltree
+from . import jaccard, langid, lm, mixing, nearvec, packing, quality, sharding, urltree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("log_score", F.round("log_score", 6))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearvec.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge(_table(spark, sf_dir, "pages"))
 
@@ -58,4 +62,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens", "unit")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_url_filter, op4_ngram_jaccard, op5_best_fit_packing, op6_language_id, op8_mixing, op9_quality_rules, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_embedding_near_dedup, op3_url_filter, op4_ngram_jaccard, op5_best_fit_packing, op6_language_id, op8_mixing, op9_quality_rules, op10_sharding)}
