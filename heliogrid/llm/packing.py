@@ -35,6 +35,7 @@ PART_ROWS = 50_000
 ROUNDS = 3
 _CACHE_WORDS = 300_000
 _CACHE_CHARS = 48
+_MARKS = '!"#$%&()*+,-./:;<=>?@[]^_`{|}~'
 
 _encoders: dict[str, Encoder] = {}
 
@@ -57,7 +58,11 @@ class Encoder(dict):
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        stem = part.rstrip(_MARKS)
+        if len(stem) < len(part) and stem[-1:].isalpha():  # letters and the marks behind them are apart too
+            ids = self[stem] + self[part[len(stem) :]]
+        else:
+            ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
         if len(part) <= _CACHE_CHARS and len(self) < _CACHE_WORDS:
             self[part] = ids
         return ids

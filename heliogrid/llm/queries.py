@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from . import jaccard, langid, lm, mixing, nearvec, packing, quality, sharding, urltree
 
 
+#: Rows of an Arrow batch: texts are long, so Spark's default of 10,000 rows takes much memory.
+BATCH_ROWS = 1000
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
