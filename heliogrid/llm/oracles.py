@@ -103,4 +103,11 @@ reach AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT r.vec_id, l.b FROM reac
 c AS (SELECT vec_id, min(c) AS component_id FROM reach GROUP BY vec_id)
 SELECT c.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.a"""
 
-ORACLE_SQL = {"op1_lm_scoring": OP1, "op2_embedding_near_dedup": OP2, "op4_ngram_jaccard": OP4, "op3_url_filter": OP3, "op8_mixing": OP8}
+OP7 = r"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) AS last FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM k"""
+
+ORACLE_SQL = {"op7_warc": OP7, "op1_lm_scoring": OP1, "op2_embedding_near_dedup": OP2, "op4_ngram_jaccard": OP4, "op3_url_filter": OP3, "op8_mixing": OP8}

@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, lm, mixing, nearvec, packing, quality, sharding, urltree
+from . import jaccard, langid, lm, mixing, nearvec, packing, quality, sharding, urltree, warc
 
 
-#: Rows of an Arrow batch: texts are long, so Spark's default of 10,000 rows takes much memory.
-BATCH_ROWS = 1000
+#: Arrow batches: texts are long, so Spark's default of 10,000 rows takes much memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents")
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(_table(spark, sf_dir, "documents"))
     return scored.withColumn("log_score", F.round("log_score", 6))
@@ -50,6 +55,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arcs = warc.write_arc(_table(spark, sf_dir, "pages"))
+    return warc.read_warc(warc.convert(arcs)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_positions")).alias("taken"))
@@ -67,4 +77,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens", "unit")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_embedding_near_dedup, op3_url_filter, op4_ngram_jaccard, op5_best_fit_packing, op6_language_id, op8_mixing, op9_quality_rules, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_embedding_near_dedup, op3_url_filter, op4_ngram_jaccard, op5_best_fit_packing, op6_language_id, op7_warc, op8_mixing, op9_quality_rules, op10_sharding)}
