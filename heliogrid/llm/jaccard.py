@@ -8,8 +8,9 @@
    all their pairs.  Longer runs give a star around their first class, and are kept.
 4. Candidates pass the size bound and the sketches' Hamming bound, then the sets
    themselves are intersected.
-5. Links give components.  Members of a kept run that are still in different components
-   are compared with each other and the components closed again.
+5. Links give components.  Kept runs whose members are still in different components are
+   looked at again.  A similar pair shares two keys, so what such a run may have missed
+   shares two such runs: members that do are compared, and the components closed again.
 
 No step drops a candidate that could reach the threshold, so the components are exact
 (up to collisions of 64-bit hashes).
@@ -198,7 +199,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = member.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
     member = written(member, "jaccard-members")
     split = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    left = written(member.join(split, "key", "left_semi"), "jaccard-apart")
+    left = member.join(split, "key", "left_semi")
+    two = left.groupBy("cls", "label").agg(F.sort_array(F.collect_list("key")).alias("ks")).filter(F.size("ks") > 1)
+    two = two.select("cls", "label", "ks", F.explode(F.sequence(F.lit(1), F.size("ks") - 1)).alias("i"))
+    two = two.select("cls", "label", F.element_at("ks", F.col("i")).alias("k1"), F.explode(F.slice("ks", F.col("i") + 1, F.size("ks"))).alias("k2"))
+    left = written(two.select("cls", "label", F.xxhash64("k1", "k2").alias("key")), "jaccard-apart")
     other = left.select("key", F.col("cls").alias("cls2"), F.col("label").alias("label2"))
     apart = left.join(other, "key").filter("label < label2").select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
     apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "jaccard-late-pairs")
