@@ -170,7 +170,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     lows = np.array([s[0] for s in spans])
     ends = [int(np.searchsorted(lows, hi + reach, "right")) for _, hi, _ in spans]
     order = {s[2]: k for k, s in enumerate(spans)}
-    frame = spark.createDataFrame([(t, k, ends[k]) for t, k in order.items()], "tile long, k long, stop long")
+    frame = spark.createDataFrame(pa.table({"tile": pa.array(list(order), pa.int64()), "k": pa.array(list(order.values()), pa.int64()), "stop": pa.array(ends, pa.int64())}))
     numbered = written(tiles.join(frame, "tile").select("k", "stop", "h", "n", "x"), "vec-numbered")
     pairs = numbered.select("k", F.explode(F.sequence("k", F.col("stop") - 1)).alias("k2"))
     pairs = pairs.repartition(max(1, min(4 * n_tiles, 20_000)), F.xxhash64("k", "k2"))

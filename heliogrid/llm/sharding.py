@@ -18,9 +18,9 @@ ordinary value.  Empty input gives an empty result.  Extra columns are not read.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .mixing import word_count
 from .storage import written
@@ -65,14 +65,14 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     large = groups.filter(is_large).withColumn("parts", F.when(share > 1 / n_shards, F.ceil(share * n_shards * 2)).otherwise(1).cast("int"))
     large = large.select(*key, "parts").orderBy(*key).toPandas()  # at most 3 * n_shards * fine rows
     large["g"] = np.arange(len(large), dtype=np.int32)
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("crc", T.LongType()), T.StructField("size", T.LongType()), T.StructField("parts", T.IntegerType()), T.StructField("g", T.IntegerType())])
-    known = F.broadcast(spark.createDataFrame(large, schema))
+    schema = pa.schema([("h", pa.int64()), ("crc", pa.int64()), ("size", pa.int64()), ("parts", pa.int32()), ("g", pa.int32())])
+    known = F.broadcast(spark.createDataFrame(pa.Table.from_pandas(large, schema, preserve_index=False)))
     part = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts"))
     unit = F.when(F.col("g").isNull(), F.concat(F.lit("b"), F.pmod(F.col("h"), F.lit(n_shards * bundles)))).otherwise(F.concat_ws(".", F.lit("g"), "g", part))
     tagged = meta.join(known, key, "left").withColumn("unit", unit).drop("parts", "g")
     units = tagged.groupBy("unit").agg(*sums).orderBy("unit").toPandas()  # bounded: bundles, large groups, their parts
     units["shard"] = place(units[dims].to_numpy(np.float64).reshape(-1, 3), n_shards)
-    where = F.broadcast(spark.createDataFrame(units[["unit", "shard"]], "unit string, shard int"))
+    where = F.broadcast(spark.createDataFrame(pa.Table.from_pandas(units[["unit", "shard"]], pa.schema([("unit", pa.string()), ("shard", pa.int32())]), preserve_index=False)))
     buckets = max(4, -(-n // (n_shards * slot_rows)))
     placed = tagged.join(where, "unit").withColumn("bucket", F.pmod(F.xxhash64("id", "h"), F.lit(buckets)))
     return _slots(placed).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "tokens", "unit", "shard", "slot")
