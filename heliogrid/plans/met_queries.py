@@ -174,12 +174,12 @@ def daily_max_altitude(spark, sf_dir):
     return rounded(timeline.daily_maximum_altitude(a, "alt", ["day"], "ts"), 5)
 
 
-@query("""SELECT DISTINCT year(ts) AS year, dayofyear(ts) AS doy, CAST(ts AS DATE) AS date, (year(ts) % 4 = 0 AND year(ts) % 100 <> 0) OR year(ts) % 400 = 0 AS leap,
+@query("""SELECT DISTINCT CAST(year(ts) AS INTEGER) AS year, CAST(dayofyear(ts) AS INTEGER) AS doy, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, (year(ts) % 4 = 0 AND year(ts) % 100 <> 0) OR year(ts) % 400 = 0 AS leap,
  round(dayofyear(ts) + hour(ts) / 24e0 + minute(ts) / 1440e0, 6) AS dectime, date_trunc('hour', ts) + INTERVAL 1 HOUR * 6 AS local FROM events""")
 def time_fields(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.year("ts").alias("year"), F.dayofyear("ts").alias("doy"))
     hour = timeline.from_hours(F.floor(timeline.hours_since_epoch(F.col("ts"))).cast("double"))
-    out = e.select("year", "doy", timeline.date_of(F.col("year"), F.col("doy")).alias("date"), timeline.is_leap(F.col("year")).alias("leap"), timeline.decimal_day(F.col("doy"), F.hour("ts"), F.minute("ts")).alias("dectime"), timeline.to_local(hour, "Etc/GMT-6").alias("local"))
+    out = e.select("year", "doy", timeline.date_of(F.col("year"), F.col("doy")).cast("string").alias("date"), timeline.is_leap(F.col("year")).alias("leap"), timeline.decimal_day(F.col("doy"), F.hour("ts"), F.minute("ts")).alias("dectime"), timeline.to_local(hour, "Etc/GMT-6").alias("local"))
     return rounded(out).distinct()
 
 
