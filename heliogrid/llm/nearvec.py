@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import written
 
-TILE = 1024
+TILE = 2048
 #: Prefix lengths after which pairs are given up.
-STEPS = (4, 8, 16, 32)
+STEPS = (8, 16, 32)
 _NEAR = 1e-9
 
 
@@ -71,41 +71,44 @@ def _axes(classes: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the linked pairs of two tiles of rotated unit vectors; if same, each pair once."""
+def prepare(raw: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a tile: rotated unit vectors, norms of what follows each dimension, and, in single
+    precision, the leading dimensions with the norm of the rest as one more."""
+    a = _unit(raw) @ axes
+    rest = np.sqrt(np.maximum(np.cumsum((a * a)[:, ::-1], axis=1)[:, ::-1], 0))
+    first = min(STEPS[0], a.shape[1])
+    tail = rest[:, first : first + 1] if first < a.shape[1] else np.zeros((len(a), 1))
+    return a, rest, np.concatenate([a[:, :first], tail], axis=1).astype(np.float32)
+
+
+def tile_links(one: tuple, two: tuple, raw_a: np.ndarray, raw_b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the linked pairs of two prepared tiles; if same, each pair once."""
+    (a, rest_a, lead_a), (b, rest_b, lead_b) = one, two
     dim = a.shape[1]
     low = threshold - _NEAR
     cuts = [s for s in STEPS if s < dim] + [dim]
-    rest_a = np.sqrt(np.maximum(np.cumsum((a * a)[:, ::-1], axis=1)[:, ::-1], 0))
-    rest_b = np.sqrt(np.maximum(np.cumsum((b * b)[:, ::-1], axis=1)[:, ::-1], 0))
-    part = a[:, : cuts[0]] @ b[:, : cuts[0]].T
-    if cuts[0] < dim:
-        alive = part + np.outer(rest_a[:, cuts[0]], rest_b[:, cuts[0]]) >= low
-    else:
-        alive = part >= low
+    # One product gives the leading part plus the bound of the rest; single precision is off by far less than 1e-4.
+    alive = lead_a @ lead_b.T >= np.float32(low - 1e-4)
+    flat = np.flatnonzero(alive)
+    i, j = np.divmod(flat, len(b))
     if same:
-        alive = np.triu(alive, 1)
-    i, j = np.nonzero(alive)
-    dots = part[i, j]
-    for lo, hi in zip(cuts, cuts[1:]):
-        if not len(i):
-            break
-        if len(i) * 8 > part.size:  # many are left: the whole block at once
-            part += a[:, lo:hi] @ b[:, lo:hi].T
-            dots = part[i, j]
-        else:
-            for at in range(0, len(i), 65536):
-                s = slice(at, at + 65536)
-                dots[s] += np.einsum("ij,ij->i", a[i[s], lo:hi], b[j[s], lo:hi])
-            part[i, j] = dots
-        keep = dots + (rest_a[i, hi] * rest_b[j, hi] if hi < dim else 0) >= low
-        i, j, dots = i[keep], j[keep], dots[keep]
-    close = np.flatnonzero(np.abs(dots - threshold) < _NEAR)
-    if len(close):  # decide by the vectors as given
-        x, y = raw_a[i[close]], raw_b[j[close]]
-        dots[close] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-    keep = dots >= threshold
-    return i[keep], j[keep]
+        i, j = i[i < j], j[i < j]
+    kept_i, kept_j = [], []
+    for at in range(0, len(i), 1 << 18):
+        p, q = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+        dots, lo = np.zeros(len(p)), 0
+        for hi in cuts:
+            dots = dots + np.einsum("ij,ij->i", a[p, lo:hi], b[q, lo:hi])
+            keep = dots + (rest_a[p, hi] * rest_b[q, hi] if hi < dim else 0) >= low
+            p, q, dots, lo = p[keep], q[keep], dots[keep], hi
+        close = np.flatnonzero(np.abs(dots - threshold) < _NEAR)
+        if len(close):  # decide by the vectors as given
+            x, y = raw_a[p[close]], raw_b[q[close]]
+            dots[close] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+        kept_i.append(p[dots >= threshold])
+        kept_j.append(q[dots >= threshold])
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *kept_i]), np.concatenate([empty, *kept_j])
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -139,15 +142,16 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     plain = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     if not total:
         return plain
+    v_type = classes.schema["v"].dataType.simpleString()
     axes = _axes(classes, dim)
     n_tiles = -(-total // tile)
+    kind = np.float32 if v_type == "array<float>" else np.float64
 
     def angle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = _unit(_matrix(batch.column(1), dim)) @ axes[:, 0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arccos(np.clip(p, -1, 1)))], names=["h", "v", "n", "angle"])
 
-    v_type = classes.schema["v"].dataType.simpleString()
     spread = written(classes.select("h", "v", "n").mapInArrow(angle, f"h long, v {v_type}, n long, angle double"), "vec-angles")
     parts = max(1, min(n_tiles, 10_000))
     ranged = spread.repartitionByRange(parts, "angle", "h").withColumn("part", F.spark_partition_id())
@@ -161,7 +165,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
         t = t.sort_by("h").combine_chunks()
         x = _matrix(t["v"].combine_chunks() if isinstance(t["v"], pa.ChunkedArray) else t["v"], dim)
         a = t["angle"].to_numpy()
-        return pa.table({"tile": pa.array([key[0].as_py()], pa.int64()), "lo": [float(a.min())], "hi": [float(a.max())], "h": [t["h"].to_numpy().tobytes()], "n": [t["n"].to_numpy().tobytes()], "x": [x.astype(np.float64).tobytes()]})
+        return pa.table({"tile": pa.array([key[0].as_py()], pa.int64()), "lo": [float(a.min())], "hi": [float(a.max())], "h": [t["h"].to_numpy().tobytes()], "n": [t["n"].to_numpy().tobytes()], "x": [x.astype(kind).tobytes()]})
 
     tiles = written(tiled.groupBy("tile").applyInArrow(bundle, "tile long, lo double, hi double, h binary, n binary, x binary"), "vec-tiles")
     # One interval per tile: which tiles can hold partners.
@@ -178,12 +182,22 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     full = pairs.join(numbered.select("k", "h", "n", "x"), "k").join(other, "k2").select("k", "k2", "h", "n", "x", "h2", "m2", "x2")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[int, tuple] = {}
+
+        def tile_of(k: int, h: bytes, n: bytes, x: bytes) -> tuple:
+            if k not in ready:
+                if len(ready) == 8:
+                    ready.pop(next(iter(ready)))
+                raw = np.frombuffer(x, kind).astype(np.float64).reshape(-1, dim)
+                ready[k] = (np.frombuffer(h, np.int64), np.frombuffer(n, np.int64), raw, prepare(raw, axes))
+            return ready[k]
+
         for batch in batches:
             for r in batch.to_pylist():
                 same = r["k"] == r["k2"]
-                h, n, x = np.frombuffer(r["h"], np.int64), np.frombuffer(r["n"], np.int64), np.frombuffer(r["x"]).reshape(-1, dim)
-                h2, n2, x2 = np.frombuffer(r["h2"], np.int64), np.frombuffer(r["m2"], np.int64), np.frombuffer(r["x2"]).reshape(-1, dim)
-                i, j = tile_links(_unit(x) @ axes, _unit(x2) @ axes, x, x2, threshold, same)
+                h, n, x, one = tile_of(r["k"], r["h"], r["n"], r["x"])
+                h2, n2, x2, two = tile_of(r["k2"], r["h2"], r["m2"], r["x2"])
+                i, j = tile_links(one, two, x, x2, threshold, same)
                 if not len(i):
                     continue
                 nodes = np.concatenate([h, h2]) if not same else h
