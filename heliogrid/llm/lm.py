@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import release, written
 from .textblocks import U64, Block, blocks, mix, span_hashes, window_hashes, words
 
 ORDER = 3
@@ -205,7 +205,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
 
     answers = grams.repartition(n_parts, "part").groupBy("part").applyInArrow(tabulate, "batch long, part long, totals binary")
     answers = written(answers, "lm-counts")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # the written table has what was shuffled for it: let Spark drop that
+    del grams
+    release(docs.sparkSession)
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = _unpack(left["blob"][0].as_buffer())
