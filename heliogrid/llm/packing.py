@@ -244,14 +244,14 @@ def pack(items: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, car
         used += -(-len(gap) // 2)
         if sum(r["bins"] for r in stats(again)) >= sum(r["bins"] for r in gap):
             break
-        now = written(only(now, ids, False).union(again), "packed-round")
+        now = written(only(now, ids, False).unionByName(again), "packed-round")
     if now.select("part").distinct().limit(2).count() > 1:
         loose = now.filter("bin = last")
         rest = packed(loose.select(*base).withColumn("part", F.lit(used).cast("long")))
         saved = rest.agg(F.max("bins")).first()[0] < loose.select("part").distinct().count()
         if saved:
-            now = now.filter("bin <> last").union(rest)
+            now = now.filter("bin <> last").unionByName(rest)
     wide = F.lit(1 << 24)  # bins of a partition are far fewer
     placed = now.select(*base, (F.col("part") * wide + F.col("bin")).alias("sequence_id"), "offset", F.col("bound").alias("part_bound"))
     whole = items.filter(F.col("length") >= capacity).select(*base, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("part_bound"))
-    return placed.union(whole)
+    return placed.unionByName(whole)
