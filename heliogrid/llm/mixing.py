@@ -69,7 +69,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     )
     level = (F.col("budget") - F.coalesce("full", F.lit(0.0))) / F.col("open_w")
     ranked = ranked.withColumn("level", F.when(F.col("ratio") > level, level))
-    ranked = ranked.withColumn("level", F.min("level").over(everything))
+    # In that order the level rises as long as sources saturate and falls from then on.
+    ranked = ranked.withColumn("level", F.max("level").over(everything))
     target = F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("cap")).otherwise(F.col("level") * F.col("w"))
     return ranked.select("mix_source", "mix_source_size", "mix_class", target.alias("mix_target"))
 

@@ -11,7 +11,7 @@ r AS (SELECT *, ([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE])[CAST((row_number() OVE
 q AS (SELECT *, cap / w AS ratio, CAST(sum(ssize) OVER () AS DOUBLE) * 1.5::DOUBLE AS budget FROM r),
 l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM q),
-m AS (SELECT *, min(CASE WHEN ratio > lvl THEN lvl END) OVER () AS level FROM l),
+m AS (SELECT *, max(CASE WHEN ratio > lvl THEN lvl END) OVER () AS level FROM l),
 t AS (SELECT source, ssize, CASE WHEN level IS NULL OR ratio <= level THEN cap ELSE level * w END AS target FROM m),
 p AS (SELECT d.doc_id, d.size, t.ssize, t.target,
              CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS start

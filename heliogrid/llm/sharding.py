@@ -32,15 +32,20 @@ SLOT_ROWS = 20_000
 
 
 def place(vectors: np.ndarray, n_shards: int) -> np.ndarray:
-    """Shard of each vector: decreasing by largest share, highest dot product with what is left."""
+    """Shard of each vector, by decreasing largest share.
+
+    The first dimension, bytes, is the law: a vector fits where that much of it is left.  Among
+    those shards the one is taken whose residual capacity has the highest dot product with
+    the vector; if it fits nowhere, the one with most bytes left.
+    """
     total = vectors.sum(axis=0)
     shares = vectors / np.where(total > 0, total, 1)
     left = np.full((n_shards, vectors.shape[1]), 1 / n_shards)
     out = np.zeros(len(vectors), np.int32)
     for i in np.argsort(-shares.max(axis=1), kind="stable"):
-        fits = (left >= shares[i] - 1e-12).all(axis=1)
-        score = left @ shares[i] if fits.any() else (left - shares[i]).min(axis=1)
-        out[i] = int(np.argmax(np.where(fits, score, -np.inf) if fits.any() else score))
+        fits = left[:, 0] >= shares[i, 0] - 1e-12
+        score = np.where(fits, np.maximum(left, 0) @ shares[i], -np.inf) if fits.any() else left[:, 0]
+        out[i] = int(np.argmax(score))
         left[out[i]] -= shares[i]
     return out
 
@@ -61,8 +66,9 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
 
     groups = written(meta.groupBy(*key).agg(*sums), "shard-groups")
     share = F.greatest(*[F.col(d) / max(w, 1.0) for d, w in zip(dims, whole)])
+    of_bytes = F.col("bytes") / max(whole[0], 1.0)
     is_large = share > 1 / (n_shards * fine)
-    large = groups.filter(is_large).withColumn("parts", F.when(share > 1 / n_shards, F.ceil(share * n_shards * 2)).otherwise(1).cast("int"))
+    large = groups.filter(is_large).withColumn("parts", F.when(of_bytes > 1 / n_shards, F.ceil(of_bytes * n_shards * 2)).otherwise(1).cast("int"))
     large = large.select(*key, "parts").orderBy(*key).toPandas()  # at most 3 * n_shards * fine rows
     large["g"] = np.arange(len(large), dtype=np.int32)
     schema = pa.schema([("h", pa.int64()), ("crc", pa.int64()), ("size", pa.int64()), ("parts", pa.int32()), ("g", pa.int32())])
