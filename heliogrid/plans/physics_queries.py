@@ -231,3 +231,44 @@ def patch_longwave_two_pass(spark, sf_dir):
         F.sum(F.when(sky, F.col("sr") * F.sin(F.radians("altitude")))).alias("down"),
     )
     return rounded(g.select("vec_id", "sky", "sunlit", "shaded", (F.col("m") * 0.5 / 3.141592653589793 * (F.col("down") + 300.0) * 0.1).alias("reflected")))
+
+
+@query()
+def simulation_day(spark, sf_dir):
+    """A day of 24 steps on the scene, in tiles of 100 x 50 pixels: mean Tmrt and UTCI by tile and step."""
+    from ..operators import simulation
+    from ..sources import metfile
+
+    hours = spark.range(24).select(F.col("id").alias("h"))
+    sun = F.greatest(F.sin((F.col("h") - 6) / 12 * 3.141592653589793), F.lit(0.0)) * 900
+    line = F.format_string("2009 223 %d 0 -999 -999 -999 -999 -999 1.5 60 %.2f 101.3 0 %.2f -999 -999 -999 -999 -999 -999 -999 -999 -999", "h", 20 + 6 * F.sin((F.col("h") - 8) / 12 * 3.141592653589793), sun)
+    weather = simulation.weather(metfile.parse(hours.select(line.alias("value"))), 40.0, -74.0, -5.0)
+    tiled = scene(spark, sf_dir).withColumn("tile", F.floor(F.col("row") / 100).cast("int")).withColumn("row", F.col("row") % 100)
+    out = simulation.simulate(tiled, weather, ("utci", "tmrt"))
+    utci = F.nanvl("utci", F.lit(None))
+    return rounded(out.groupBy("tile", "step").agg(F.avg("tmrt").alias("tmrt"), F.avg(utci).alias("utci"), F.count(F.lit(1)).alias("pixels")), 4)
+
+
+@query()
+def sky_view_factors(spark, sf_dir):
+    """All sky-view fields, by (tile, chunk of patches) tasks."""
+    from ..operators import tiles
+
+    tiled = scene(spark, sf_dir).withColumn("tile", F.floor(F.col("row") / 100).cast("int")).withColumn("row", F.col("row") % 100)
+    return rounded(tiles.sky_view_factors(tiled))
+
+
+@query()
+def wall_aspect_filter(spark, sf_dir):
+    from ..operators import grid, tiles
+
+    tiled = scene(spark, sf_dir).withColumn("tile", F.lit("a"))
+    return rounded(tiles.wall_aspects(grid.wall_heights(tiled, keys=["tile"])))
+
+
+@query()
+def wake_coefficients(spark, sf_dir):
+    from ..operators import tiles
+
+    tiled = scene(spark, sf_dir).select(F.floor(F.col("row") / 100).cast("int").alias("tile"), (F.col("row") % 100).alias("row"), "col", (F.col("dsm") - F.col("dem")).alias("h"))
+    return rounded(tiles.wake_coefficients(tiled, [0, 90, 180, 270]))
