@@ -39,13 +39,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, rounds: int = 5) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more.
 
     Spark does so when the driver collects its garbage, which may be long after a written
-    table has replaced them.  Twice, as Python's references are dropped with a delay.
+    table has replaced them.  Repeated, as references and files are dropped with a delay.
     """
-    for _ in range(2):
+    for _ in range(rounds):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(0.8)
