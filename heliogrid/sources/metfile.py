@@ -22,7 +22,7 @@ def parse(lines: DataFrame, line: str = "value", keep: list[str] = ()) -> DataFr
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Read met files, each with one header line (recognised by its position in the file), adding file."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
     return parse(raw.filter((F.col("n") > 0) & (F.trim("value") != "")), keep=["file", "n"])
 
 
