@@ -8,9 +8,9 @@
    all their pairs.  Longer runs give a star around their first class, and are kept.
 4. Candidates pass the size bound and the sketches' Hamming bound, then the sets
    themselves are intersected.
-5. Links give components.  Kept runs whose members are still in different components are
-   looked at again.  A similar pair shares two keys, so what such a run may have missed
-   shares two such runs: members that do are compared, and the components closed again.
+5. Links give components.  The members of a kept run that are still in different
+   components are compared by their sketches, in blocks of bounded size that give out only
+   what passes the Hamming bound; that is verified and the components closed again.
 
 No step drops a candidate that could reach the threshold, so the components are exact
 (up to collisions of 64-bit hashes).
@@ -37,6 +37,8 @@ from .storage import written
 from .textblocks import LOWER, U64, blocks, mix, short_hashes, span_hashes, window_hashes, words
 
 FEW = 8
+#: Members of a long run that are compared at once.
+CHUNK = 2048
 #: Slots of the bitmap by which texts are picked for verification; texts picked in vain cost time only.
 SLOTS = 1 << 20
 
@@ -179,7 +181,55 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
     return full.mapInArrow(verify, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, few: int = FEW) -> DataFrame:
+def _late_pairs(members: DataFrame, classes: DataFrame, bands: Bands, chunk: int) -> DataFrame:
+    """Pairs (a, b) of different labels within runs (key, cls, label, m members), near by their sketches.
+
+    A run is cut by hash into about m / chunk parts, and every two parts meet in a block.
+    """
+    num, den = bands.num, bands.den
+    parts = F.ceil(F.col("m") / chunk).cast("int")
+    rows = members.withColumn("p", parts).withColumn("c", F.pmod(F.xxhash64("cls"), F.col("p")).cast("int"))
+    rows = rows.select("key", "cls", "label", "c", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("d"))
+    rows = rows.select("cls", "label", "c", (F.col("c") == F.col("d")).alias("own"), F.xxhash64("key", F.least("c", "d"), F.greatest("c", "d")).alias("block"))
+    rows = rows.join(classes.select("cls", "n_shingles", "sketch"), "cls")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def pairs_of(t: dict[str, np.ndarray]) -> pa.RecordBatch:
+            found_a, found_b = [], []
+            cls, label, part, own, n, s = (t[k] for k in ("cls", "label", "c", "own", "n", "s"))
+            for lo in range(0, len(cls), 256):
+                i = slice(lo, lo + 256)
+                dist = np.zeros((len(cls[i]), len(cls)), np.uint16)
+                for w in range(s.shape[1]):
+                    dist += np.bitwise_count(s[i, w, None] ^ s[None, :, w])
+                both = n[i, None] + n[None, :]
+                near = dist.astype(np.int64) * (den + num) <= both * (den - num)
+                near &= den * np.minimum(n[i, None], n[None, :]) >= num * np.maximum(n[i, None], n[None, :])
+                near &= (label[i, None] < label[None, :]) & (own[i, None] | (part[i, None] != part[None, :]))
+                x, y = np.nonzero(near)
+                found_a.append(np.minimum(cls[i][x], cls[y]))
+                found_b.append(np.maximum(cls[i][x], cls[y]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+
+        for batch in batches:
+            flat = batch.column(5).flatten().to_numpy()
+            new = {"block": batch.column(0).to_numpy(), "cls": batch.column(1).to_numpy(), "label": batch.column(2).to_numpy(), "c": batch.column(3).to_numpy(), "n": batch.column(4).to_numpy(), "s": flat.view(U64).reshape(len(batch), -1), "own": batch.column(6).to_numpy(zero_copy_only=False)}
+            held = new if held is None else {k: np.concatenate([held[k], new[k]]) for k in held}
+            cuts = np.flatnonzero(held["block"][1:] != held["block"][:-1]) + 1
+            for lo, hi in zip(np.append(0, cuts), cuts):
+                yield pairs_of({k: v[lo:hi] for k, v in held.items()})
+            last = cuts[-1] if len(cuts) else 0
+            held = {k: v[last:] for k, v in held.items()}
+        if held is not None and len(held["cls"]):
+            yield pairs_of(held)
+
+    rows = rows.select("block", "cls", "label", "c", "n_shingles", "sketch", "own")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(compare, "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, few: int = FEW, chunk: int = CHUNK) -> DataFrame:
     """Components under Jaccard similarity >= num/den of word n-shingles.
 
     Returns a row per row of ``docs``: id_col, n_shingles, component_id, cls (equal for
@@ -198,14 +248,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = hits.filter("key IS NOT NULL").select("key", F.col("a").alias("cls"))
     member = member.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
     member = written(member, "jaccard-members")
-    split = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    left = member.join(split, "key", "left_semi")
-    two = left.groupBy("cls", "label").agg(F.sort_array(F.collect_list("key")).alias("ks")).filter(F.size("ks") > 1)
-    two = two.select("cls", "label", "ks", F.explode(F.sequence(F.lit(1), F.size("ks") - 1)).alias("i"))
-    two = two.select("cls", "label", F.element_at("ks", F.col("i")).alias("k1"), F.explode(F.slice("ks", F.col("i") + 1, F.size("ks"))).alias("k2"))
-    left = written(two.select("cls", "label", F.xxhash64("k1", "k2").alias("key")), "jaccard-apart")
-    other = left.select("key", F.col("cls").alias("cls2"), F.col("label").alias("label2"))
-    apart = left.join(other, "key").filter("label < label2").select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
+    split = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m")
+    apart = _late_pairs(written(member.join(split, "key"), "jaccard-apart"), classes, bands, chunk).distinct()
     apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "jaccard-late-pairs")
     if apart.limit(1).count():
         late = written(_verified(apart, classes, docs, id_col, text_col, n, bands), "jaccard-late-links")

@@ -6,14 +6,13 @@ symmetric difference, because every token in both sets cancels.  The same holds
 sketch cut into blocks: at most as many blocks differ as there are tokens in only one set.
 
 Let similar mean intersection >= num/den * union.  Then the symmetric difference of sets
-of sizes a and b is at most (a + b) * (den - num) / (den + num).  So of any D + 2 blocks,
-D being that bound, two are equal in both.  Blocks that hold no token are equal by chance
-and say nothing; a set therefore gives out its blocks in order until D + 2 of them hold a
+of sizes a and b is at most (a + b) * (den - num) / (den + num).  So of any D + 1 blocks,
+D being that bound, one is equal in both.  Blocks that hold no token are equal by chance
+and say nothing; a set therefore gives out its blocks in order until D + 1 of them hold a
 token.  Of two similar sets, take the one that stops first: all its non-empty blocks are
-also given out by the other, and two of them are equal.  A set that runs out of blocks
-gives out its single tokens as well, so two such sets, if similar and not equal, meet on
-shared tokens, of which they have four at least.  So no pair of similar sets is missed,
-and every such pair shares two keys.
+also given out by the other, and one of them is equal.  A set that runs out of blocks
+gives out its single tokens as well, so two such sets meet on a shared token.  No pair of
+similar sets is missed.
 
 Blocks are kept at full width: a block's sketch is the XOR of its tokens' 64-bit hashes.
 
@@ -40,7 +39,7 @@ class Bands:
         while edges[-1] < largest:
             edges.append(max(edges[-1] + 1, int(edges[-1] * growth)))
         self.edges = np.array(edges, np.int64)  # band i holds the sizes edges[i] <= n < edges[i + 1]
-        self.blocks = ((2 * (self.edges[1:] - 1) * (den - num) // (den + num) + 2) * slack).astype(np.int64) + 2
+        self.blocks = ((2 * (self.edges[1:] - 1) * (den - num) // (den + num) + 1) * slack).astype(np.int64) + 2
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, n, "right") - 1
@@ -102,11 +101,11 @@ def keys(h: np.ndarray, doc: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[n
         owner = np.repeat(np.arange(len(sets)), blocks)
         rank = np.cumsum(filled)
         rank -= np.concatenate([[0], rank])[start][owner]
-        give = filled & (rank <= most[owner] + 2)
+        give = filled & (rank <= most[owner] + 1)
         salt = mix((band[owner[give]] * (1 << 40) + np.flatnonzero(give) - start[owner[give]]).astype(U64))
         out_key.append(mix(parity[give] ^ salt))
         out_set.append(sets[owner[give]])
-        short = np.add.reduceat(filled.astype(np.int64), start) < most + 2
+        short = np.add.reduceat(filled.astype(np.int64), start) < most + 1
         alone = short[at]
         out_key.append(mix(h[token[alone]] ^ mix((band[at[alone]] + (1 << 62)).astype(U64))))
         out_set.append(sets[at[alone]])
