@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import grid, scene
+from ..operators import grid, scene, vector
 from .fixtures import SCENE, rounded, table
 from .fixtures import scene as scene_table
 
@@ -212,3 +212,38 @@ def running_horizon_top3(spark, sf_dir):
     r = Window.partitionBy("row").orderBy(F.desc("dsm"), "col")
     s = scene_table(spark, sf_dir)
     return s.select("row", "col", F.max("dsm").over(w).alias("horizon"), F.row_number().over(r).alias("rank")).filter("rank <= 3")
+
+
+@query(f"""WITH s AS (SELECT row, col, dsm - dem AS h FROM {SCENE}), m AS (SELECT max(row) AS r, max(col) AS c FROM s),
+e AS (SELECT s.row, s.col, CASE WHEN s.h > 0 THEN s.h * (SELECT count(*) FROM s n WHERE n.h <= 0 AND abs(n.row - s.row) + abs(n.col - s.col) = 1) ELSE 0 END AS a FROM s)
+SELECT s.row, s.col, round(sum(e.a) / 25e0 / pi(), 6) AS frontal FROM s CROSS JOIN m CROSS JOIN range(-2, 3) i CROSS JOIN range(-2, 3) j
+ JOIN e ON e.row = least(greatest(s.row + i.range, 0), m.r) AND e.col = least(greatest(s.col + j.range, 0), m.c) GROUP BY s.row, s.col""")
+def frontal_area_index(spark, sf_dir):
+    s = scene_table(spark, sf_dir).withColumn("h", F.col("dsm") - F.col("dem"))
+    return rounded(grid.frontal_area(s, "h", 2).select("row", "col", "frontal"))
+
+
+_RECT = "(SELECT n_nationkey AS idx, 5e0 + n_nationkey AS value, n_nationkey * 3 % 40 + 0.2e0 AS x0, n_nationkey * 3 % 40 + 6.7e0 AS x1, n_nationkey * 5 % 30 + 0.1e0 AS y0, n_nationkey * 5 % 30 + 4.9e0 AS y1 FROM nation)"
+
+
+@query(f"""SELECT CAST(r.range AS INTEGER) AS row, CAST(c.range AS INTEGER) AS col, max_by(value, idx) AS value FROM {_RECT}, range(0, 40) r, range(0, 50) c
+ WHERE c.range + 0.5e0 >= x0 AND c.range + 0.5e0 < x1 AND 40e0 - r.range - 0.5e0 >= y0 AND 40e0 - r.range - 0.5e0 < y1 GROUP BY r.range, c.range""")
+def rasterize_polygons(spark, sf_dir):
+    k = F.col("n_nationkey")
+    x0, x1, y0, y1 = k * 3 % 40 + F.lit(0.2), k * 3 % 40 + F.lit(6.7), k * 5 % 30 + F.lit(0.1), k * 5 % 30 + F.lit(4.9)
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    rects = table(spark, sf_dir, "nation").select(k.alias("idx"), (5.0 + k).alias("value"), F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("ring"))
+    return vector.rasterize(rects, [0.0, 1.0, 0.0, 40.0, 0.0, -1.0], 40, 50)
+
+
+@query(f"SELECT idx, value, round((least(x1, 30e0) - greatest(x0, 10e0)) * (least(y1, 25e0) - greatest(y0, 5e0)), 6) AS area FROM {_RECT} WHERE least(x1, 30e0) > greatest(x0, 10e0) AND least(y1, 25e0) > greatest(y0, 5e0)")
+def clip_polygons(spark, sf_dir):
+    k = F.col("n_nationkey")
+    x0, x1, y0, y1 = k * 3 % 40 + F.lit(0.2), k * 3 % 40 + F.lit(6.7), k * 5 % 30 + F.lit(0.1), k * 5 % 30 + F.lit(4.9)
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    rects = table(spark, sf_dir, "nation").select(k.alias("idx"), (5.0 + k).alias("value"), F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("ring"))
+    box = (10.0, 5.0, 30.0, 25.0)
+    c = vector.clip_to_box(vector.intersecting(rects, box), box)
+    after = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
+    twice = F.aggregate(F.zip_with("ring", after, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda t, x: t + x)
+    return rounded(c.select("idx", "value", (twice / 2).alias("area")))

@@ -48,7 +48,7 @@ def session(app: str = "heliogrid", **config: str) -> SparkSession:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints, named by the session; one of the driver's own where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="heliogrid-"))
-    return named or spark.sparkContext.getCheckpointDir()
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="heliogrid-"))
+    return spark.sparkContext.getCheckpointDir()
