@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliogrid.llm import jaccard, langid, mixing, packing, quality
-from heliogrid.llm.queries import documents
+from heliogrid.llm.queries import bounded_batches, documents
 from heliogrid.llm.storage import written
 
 MIN_LANGUAGE_SCORE = 0.5
@@ -19,12 +19,14 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the classifier trained on ``labels``."""
+    bounded_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.judge(docs, model).filter("kept").select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the training rows hold; ``und`` and undecided ones go."""
+    bounded_batches(spark)
     model = langid.train(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     found = langid.identify(docs, model)
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
@@ -35,6 +37,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows that share an id are told apart by their text; equal rows become one.
     """
+    bounded_batches(spark)
     found = jaccard.jaccard_components(docs)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
     stay = docs.join(written(first, "pipeline-first"), docs.doc_id.eqNullSafe(F.col("first_id")), "left_semi")
@@ -50,6 +53,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The pieces of all occurrences, placed into sequences."""
     import public_tokenizers
 
+    bounded_batches(spark)
     cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")), carry=("ids_crc32",))
 

@@ -12,9 +12,13 @@ from . import jaccard, langid, lm, mixing, nearvec, packing, quality, sharding,
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def bounded_batches(spark: SparkSession) -> None:
     for key, value in BATCHES.items():
         spark.conf.set(key, value)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
