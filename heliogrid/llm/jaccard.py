@@ -7,7 +7,8 @@
 3. Keys are sorted; classes that share one are candidates.  Runs of up to FEW classes give
    all their pairs.  Longer runs give a star around their first class, and are kept.
 4. Candidates pass the size bound and the sketches' Hamming bound, then the sets
-   themselves are intersected.
+   themselves are intersected: of each class and its smallest partner first, then of the
+   pairs that are still apart.
 5. Links give components.  The members of a kept run that are still in different
    components are compared by their sketches, in blocks of bounded size that give out only
    what passes the Hamming bound; that is verified and the components closed again.
@@ -140,15 +141,38 @@ def _collisions(rows: DataFrame, few: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "a long, b long, key long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, bands: Bands) -> DataFrame:
-    """Those of the class pairs (a, b) that are similar."""
+def _close(pairs: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
+    """Those of the class pairs (a, b) that pass the bounds of size and Hamming distance."""
     num, den = bands.num, bands.den
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     distance = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     close = both.filter((den * least >= num * most) & (distance * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)))
-    close = written(close.select("a", "b"), "jaccard-close")
+    return written(close.select("a", "b"), "jaccard-close")
+
+
+def _links(close: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, bands: Bands) -> tuple[DataFrame, DataFrame]:
+    """Links that connect what all similar pairs of ``close`` connect, and the labels they give.
+
+    Each class is first held against its smallest partner alone; of the other pairs only those
+    that this leaves in different components can add anything.
+    """
+    first = written(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-first")
+    links = written(_verified(first, classes, docs, id_col, text_col, n, bands), "jaccard-links")
+    labels = components(links)
+    name = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    rest = close.join(first, ["a", "b"], "left_anti").join(name("a"), "a", "left").join(name("b"), "b", "left")
+    rest = written(rest.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), "jaccard-rest")
+    if rest.limit(1).count():
+        links = written(links.union(_verified(rest, classes, docs, id_col, text_col, n, bands)), "jaccard-links")
+        labels = components(links)
+    return links, labels
+
+
+def _verified(close: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, bands: Bands) -> DataFrame:
+    """Those of the class pairs (a, b) whose sets are similar."""
+    num, den = bands.num, bands.den
     wanted = close.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     slots = classes.join(wanted, "cls", "left_semi").select(F.pmod(F.xxhash64("rep"), F.lit(SLOTS)).alias("slot")).distinct().toArrow()["slot"].to_numpy()  # at most SLOTS numbers
     bitmap = np.zeros(SLOTS, bool)
@@ -241,8 +265,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = written(classes, "jaccard-classes")
     hits = written(_collisions(_key_rows(docs, text_col, n, bands), few), "jaccard-hits")
     pairs = written(hits.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
-    links = written(_verified(pairs, classes, docs, id_col, text_col, n, bands), "jaccard-links")
-    labels = components(links)
+    links, labels = _links(_close(pairs, classes, bands), classes, docs, id_col, text_col, n, bands)
 
     # Long runs: compare what the stars have left apart.
     member = hits.filter("key IS NOT NULL").select("key", F.col("a").alias("cls"))
@@ -252,7 +275,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     apart = _late_pairs(written(member.join(split, "key"), "jaccard-apart"), classes, bands, chunk).distinct()
     apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "jaccard-late-pairs")
     if apart.limit(1).count():
-        late = written(_verified(apart, classes, docs, id_col, text_col, n, bands), "jaccard-late-links")
+        late, _ = _links(_close(apart, classes, bands), classes, docs, id_col, text_col, n, bands)
         if late.limit(1).count():
             labels = components(links.union(late))
 
