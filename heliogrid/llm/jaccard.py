@@ -238,6 +238,8 @@ def _late_pairs(members: DataFrame, classes: DataFrame, bands: Bands, chunk: int
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
 
         for batch in batches:
+            if not len(batch):
+                continue
             flat = batch.column(5).flatten().to_numpy()
             new = {"block": batch.column(0).to_numpy(), "cls": batch.column(1).to_numpy(), "label": batch.column(2).to_numpy(), "c": batch.column(3).to_numpy(), "n": batch.column(4).to_numpy(), "s": flat.view(U64).reshape(len(batch), -1), "own": batch.column(6).to_numpy(zero_copy_only=False)}
             held = new if held is None else {k: np.concatenate([held[k], new[k]]) for k in held}
