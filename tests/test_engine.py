@@ -137,6 +137,14 @@ def test_components_match_kernel(spark):
     assert got == kernels.label(mask).ravel().tolist()
 
 
+def test_components_of_long_arms(spark):
+    cells = [("u", r, c) for r in range(200) for c in (0, 2)] + [("u", 199, 1)]
+    cells += [("comb", r, c) for r in range(120) for c in range(0, 12, 3)] + [("comb", 120, c) for c in range(12)] + [("comb", 122, 0)]
+    df = spark.createDataFrame([(*x, True) for x in cells], "tile string, row int, col int, on boolean")
+    out = grid.component_labels(df, "on", ["tile"]).groupBy("tile", "label").count().collect()
+    assert {tuple(r) for r in out} == {("u", 0, 401), ("comb", 0, 4 * 120 + 12), ("comb", 122 << 31, 1)}
+
+
 def test_rasters_round_trip(spark, tmp_path):
     session.register(spark)
     rng = np.random.default_rng(2)
