@@ -7,12 +7,14 @@ symbol was seen there, else an escape, -log2(distinct / (total + distinct)), and
 shorter context; below order 0 all bytes cost 8 bits.  The language with the shortest
 code for the whole text wins.
 
-For scoring, the exact code lengths of every (context, symbol) are tabulated once for all
-languages together, so a byte costs two look-ups, whatever the number of languages.
+For scoring, the exact code lengths of every (context, symbol) are tabulated once for up to
+``GROUP`` languages together, so a byte costs two look-ups a group.
 
 Bound.  Trees are trained on about ``sample_docs`` documents a language, those with ids of
-lowest hash, at most ``sample_bytes`` of text each language, and on the ``max_languages``
-most frequent languages; every text is scored whole.
+lowest hash, at most ``sample_bytes`` of text each language.  Every language of the training
+rows is trained and every text is scored whole: more than ``GROUP`` languages are trained
+and scored in passes over the texts at hand, each of which holds one group's tables and
+carries the best so far.
 
 Letters are compared without case: A-Z, and capitals of Latin-1 as coded in UTF-8.
 
@@ -29,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textblocks import LOWER, Block, blocks
@@ -37,7 +39,9 @@ from .textblocks import LOWER, Block, blocks
 MAX_ORDER = 3
 SAMPLE_DOCS = 300
 SAMPLE_BYTES = 1_000_000
-MAX_LANGUAGES = 64
+#: Languages that are tabulated together, and bytes of text that are scored by one group before the next.
+GROUP = 4
+HOLD_BYTES = 32 << 20
 UNKNOWN = "und"
 
 
@@ -145,24 +149,44 @@ def build(texts: dict[str, list[bytes]]) -> Model | None:
     return Model(languages, symbol, state, bits.reshape(-1, n_lang))
 
 
-def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, max_languages: int = MAX_LANGUAGES) -> Model | None:
+@dataclass
+class Trained:
+    """The languages of the training rows in groups, in order of name.
+
+    groups: (lang, rows, lowest h) of each language; usable: the training rows, as h, lang and t.
+    """
+
+    groups: list[list[tuple[str, int, float]]]
+    usable: DataFrame
+    sample_docs: int
+    sample_bytes: int
+
+    def model(self, group: int) -> Model:
+        """Sample one group's languages and tabulate them."""
+        # Documents whose hash lies in the lowest sample_docs / n of all hashes: a bounded sample without a sort.
+        h, lang, wanted = F.col("h"), F.col("lang"), self.groups[group]
+        part = F.coalesce(*[F.when(lang == name, (h < self.sample_docs / n) | (h == low)) for name, n, low in wanted])
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+        rows = self.usable.filter(part).withColumn("k", place).filter(F.col("k") <= 2 * self.sample_docs).orderBy("h", "lang", "t").collect()
+        texts: dict[str, list[bytes]] = {}
+        used: dict[str, int] = {}
+        for r in rows:
+            if used.get(r["lang"], 0) < self.sample_bytes:
+                data = r["t"].encode()
+                texts.setdefault(r["lang"], []).append(data)
+                used[r["lang"]] = used.get(r["lang"], 0) + len(data)
+        return build(texts)
+
+
+def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, group: int = GROUP) -> Trained | None:
     """Train on the rows that ``allowed`` admits, of known id, text and language."""
     usable = docs.filter(allowed & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    found = usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    place = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 1) / float(1 << 63)
+    usable = usable.select(place.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
+    found = sorted(tuple(r) for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("low")).collect())
     if not found:
         return None
-    # Documents whose hash lies in the lowest sample_docs / n of all hashes: a bounded sample without a sort.
-    part = F.coalesce(*[F.when(F.col(lang_col) == r["lang"], F.lit(sample_docs / r["n"])) for r in found])
-    place = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 1) / float(1 << 63)
-    rows = usable.filter(place < part).select(place.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).orderBy("h", "lang", "t").limit(2 * sample_docs * len(found)).collect()
-    texts: dict[str, list[bytes]] = {}
-    used: dict[str, int] = {}
-    for r in rows:
-        if used.get(r["lang"], 0) < sample_bytes:
-            data = r["t"].encode()
-            texts.setdefault(r["lang"], []).append(data)
-            used[r["lang"]] = used.get(r["lang"], 0) + len(data)
-    return build(texts)
+    return Trained([found[i : i + group] for i in range(0, len(found), group)], usable, sample_docs, sample_bytes)
 
 
 _ALPHA = np.zeros(256, bool)
@@ -180,7 +204,33 @@ def _letters(b: Block) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def _held(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists that end as soon as they hold ``size`` bytes."""
+    some, used = [], 0
+    for batch in batches:
+        some.append(batch)
+        used += batch.nbytes
+        if used >= size:
+            yield some
+            some, used = [], 0
+    if some:
+        yield some
+
+
+def _better(best: tuple | None, bits: np.ndarray, first: int, scale: np.ndarray) -> tuple:
+    """(winner, its bits, sum of 2**-scaled bits relative to the winner's) with one more group, whose languages count from ``first``."""
+    win = bits.argmin(axis=1)
+    low = bits[np.arange(len(bits)), win]
+    total = np.exp2(-(bits - low[:, None]) * scale[:, None]).sum(axis=1)
+    if best is None:
+        return win + first, low, total
+    was, was_low, was_total = best
+    least = np.minimum(low, was_low)
+    total = was_total * np.exp2(-(was_low - least) * scale) + total * np.exp2(-(low - least) * scale)
+    return np.where(low < was_low, win + first, was), least, total
+
+
+def identify(docs: DataFrame, trained: Trained | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add lang_pred, score (0 to 1) and bits_per_byte (of the winner) to every document.
 
     The score is the winner's share of 2**-bits, with the bits of long texts scaled down to
@@ -188,22 +238,31 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     """
     names = ["lang_pred", "score", "bits_per_byte"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    groups = trained.groups if trained else []
+    languages = [name for g in groups for name, _, _ in g]
+    shared = [docs.sparkSession.sparkContext.broadcast(trained.model(i)) for i in range(len(groups))]  # each bounded by the sample
+    firsts = np.cumsum([0, *map(len, groups)]).tolist()
+    hold = HOLD_BYTES if len(shared) > 1 else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        labels = np.array([*(m.languages if m else []), UNKNOWN], object)
-        for batch in batches:
-            for b in blocks(batch.column(len(keep))):
+        labels = np.array([*languages, UNKNOWN], object)
+        for held in _held(batches, hold):
+            cut = [(batch, b) for batch in held for b in blocks(batch.column(len(keep)))]
+            found: list[tuple | None] = [None] * len(cut)
+            for first, one in zip(firsts, shared):
+                m = one.value
+                for i, (_, b) in enumerate(cut):
+                    found[i] = _better(found[i], m.code_lengths(b), first, np.minimum(1, 64 / np.maximum(b.ends - b.starts, 1)))
+                if len(shared) > 1:  # a worker holds the tables of one group at a time
+                    del m
+                    vars(one).pop("_value", None)
+            for (batch, b), best_of in zip(cut, found):
                 n = len(b.starts)
                 best, score, rate = np.full(n, len(labels) - 1), np.zeros(n), np.zeros(n)
-                if m:
-                    bits, size = m.code_lengths(b), np.maximum(b.ends - b.starts, 1)
-                    win = bits.argmin(axis=1)
-                    low = bits[np.arange(n), win]
-                    gap = (bits - low[:, None]) * np.minimum(1, 64 / size)[:, None]
+                if best_of:
+                    win, low, total = best_of
                     ok = _letters(b)
-                    best[ok], score[ok], rate[ok] = win[ok], (1 / np.exp2(-gap).sum(axis=1))[ok], (low / size)[ok]
+                    best[ok], score[ok], rate[ok] = win[ok], (1 / total)[ok], (low / np.maximum(b.ends - b.starts, 1))[ok]
                 cols = [batch.column(i).slice(b.lo, b.hi - b.lo) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(labels[best], pa.string()), pa.array(score), pa.array(rate)], names=[*keep, *names])
 

@@ -163,6 +163,22 @@ def test_quality_and_language_rows(spark):
     assert set(langid.identify(df, langid.train(df, F.lit(False)), keep=["doc_id"]).toPandas().lang_pred) == {"und"}
 
 
+def test_more_languages_than_a_group(spark):
+    rng = np.random.default_rng(12)
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    words_of = [["".join(rng.choice(letters, 5)) for _ in range(12)] for _ in range(70)]
+    rows = [(k * 10 + j, " ".join(rng.choice(w, 15)), f"l{k:02}", "s", 1, "p") for k, w in enumerate(words_of) for j in range(4 if k == 41 else 6)]
+    rows += [(7, "\u0436 only", None, "s", 1, "p"), (None, "", "l00", "s", 1, "p")]
+    df = spark.createDataFrame(rows, DOCS)
+    found = langid.identify(df, langid.train(df, F.lit(True)), keep=["doc_id", "lang"]).toPandas()
+    assert (found.lang_pred == found.lang)[:-2].all() and found.lang_pred[: -2].nunique() == 70 and found.lang_pred.iloc[-1] == "und"
+    whole = langid.identify(df, langid.train(df, F.lit(True), group=100), keep=["doc_id", "lang"]).toPandas()
+    assert whole.lang_pred.tolist() == found.lang_pred.tolist()
+    assert np.allclose(whole.score, found.score, rtol=1e-6) and np.allclose(whole.bits_per_byte, found.bits_per_byte)
+    same = spark.createDataFrame([(5, f"{w} {w}", lang, "s", 1, "p") for lang, w in (("x", "abc"), ("y", "def")) for _ in range(1000)], DOCS)
+    assert {lang for g in langid.train(same, F.lit(True)).groups for lang, _, _ in g} == set(langid.train(same, F.lit(True)).model(0).languages)
+
+
 def test_pipeline_on_a_small_table(spark, tmp_path):
     import corpus_pipeline as cp
 
