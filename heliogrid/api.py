@@ -59,24 +59,29 @@ def calculate_svf(tiled: DataFrame, patch_option: int = 2, scale: float = 1.0) -
     return tiles.sky_view_factors(tiled, option=patch_option, scale=scale)
 
 
-def build_wind_ext_coeff(tiled: DataFrame, pixel: float = 1.0, directions: tuple[int, ...] = tuple(range(0, 360, 30))) -> DataFrame:
-    """Directional wind coefficients of every tile, smoothed over two scales."""
-    heights = tiled.withColumn("h", F.when(F.col("dsm") - F.col("dem") >= 2, F.col("dsm") - F.col("dem")).otherwise(0.0))
-    wakes = tiles.wake_coefficients(heights, list(directions), pixel=pixel)
-    near = grid.gaussian_smooth(wakes, "coef", max(0.5, 6 / pixel / 3), ["tile", "dir"])
-    return near.withColumn("coef", F.coalesce("smooth", "coef")).drop("smooth")
+def build_wind_ext_coeff(tiled: DataFrame, pixel: float = 1.0, directions: tuple[int, ...] = tuple(range(0, 360, 30)), z0: float = 0.03, coeff_min: float = 0.1, coeff_max: float = 1.0) -> DataFrame:
+    """Directional wind coefficients of every tile: wakes of buildings and trees of 1 m or more, smoothed over two scales."""
+    def tall(h):
+        return F.when(h >= 1, h).otherwise(0.0)
 
+    heights = tiled.withColumns({"h": tall(F.col("dsm") - F.col("dem")), "tree": tall(F.col("tree"))})
+    return tiles.wind_coefficients(heights, list(directions), pixel=pixel, z0_ref=z0, least=coeff_min, most=coeff_max)
 
-def run_utci_tiles(tiled: DataFrame, met: DataFrame, lat: float, lon: float, utc_offset: float = 0.0, outputs: tuple[str, ...] = ("utci",), landcover: bool = False, scale: float = 1.0) -> DataFrame:
-    """Simulate the timeline of a met table on every tile."""
-    return simulation.simulate(tiled, simulation.weather(met, lat, lon, utc_offset), outputs, landcover=landcover, scale=scale)
 
+def run_utci_tiles(tiled: DataFrame, met: DataFrame, lat: float, lon: float, utc_offset: float = 0.0, outputs: tuple[str, ...] = ("utci",), landcover: bool = False, scale: float = 1.0, coefficients: DataFrame | None = None) -> DataFrame:
+    """Simulate the timeline of a met table on every tile, at full wind speed unless coefficients are given."""
+    return simulation.simulate(tiled, simulation.weather(met, lat, lon, utc_offset), outputs, landcover=landcover, scale=scale, coefficients=coefficients)
 
-def thermal_comfort(spark: SparkSession, folder: str, met_path: str, lat: float, lon: float, utc_offset: float = 0.0, tile_size: int = 1000, overlap: int = 20, outputs: tuple[str, ...] = ("utci",), landcover: bool = False, scale: float = 1.0, out: str | None = None) -> DataFrame:
-    """From rasters and a met file to comfort per tile, step and pixel; written as Parquet by tile if ``out`` is given."""
+
+def thermal_comfort(spark: SparkSession, folder: str, met_path: str, lat: float, lon: float, utc_offset: float = 0.0, tile_size: int = 1000, overlap: int = 20, outputs: tuple[str, ...] = ("utci",), landcover: bool = False, scale: float = 1.0, out: str | None = None, z0: float | None = None) -> DataFrame:
+    """From rasters and a met file to comfort per tile, step and pixel; written as Parquet by tile if ``out`` is given.
+
+    Given a roughness length ``z0`` (m), wind coefficients are built and used.
+    """
     met = metfile.validate(metfile.read(spark, met_path))
     tiled = preprocess(build_inputs(spark, folder, landcover), tile_size, overlap)
-    result = run_utci_tiles(tiled, met, lat, lon, utc_offset, outputs, landcover, scale)
+    coefficients = None if z0 is None else build_wind_ext_coeff(tiled, 1 / scale, z0=z0)
+    result = run_utci_tiles(tiled, met, lat, lon, utc_offset, outputs, landcover, scale, coefficients)
     if out:
         result.repartitionByRange("tile").sortWithinPartitions("tile", "step").write.mode("overwrite").partitionBy("tile").parquet(out)
         return spark.read.parquet(out)

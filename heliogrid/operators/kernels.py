@@ -276,10 +276,13 @@ def building_wake(heights: np.ndarray, direction: float, pixel: float = 1.0, bas
     The scene is turned so that the wind blows down the columns.  In each column of a
     component the coefficient rises linearly from 0 over the wake behind every segment, up to
     the next segment, and by the power 1.5 over the wake in front of the first.  Where wakes
-    meet, the least holds.  ``base`` scales the result, as for trees, whose wakes are partial.
+    meet, the least holds.  With ``base``, as for trees, wakes rise from the obstacle's own
+    coefficient, which also holds on the obstacle.
     """
-    turned = rotate(heights, -direction, 1)
-    parts = label(rotate((heights > 0).astype(float), -direction, 0) > 0)
+    turned = rotate(heights, direction, 1)
+    mask = rotate((heights > 0).astype(float), direction, 0) > 0
+    own = np.zeros_like(turned) if base is None else np.clip(rotate(base, direction, 1, fill=1.0), 0, 1)
+    parts = label(mask)
     out = np.ones_like(turned)
     for k in range(1, parts.max() + 1):
         where = parts == k
@@ -296,11 +299,64 @@ def building_wake(heights: np.ndarray, direction: float, pixel: float = 1.0, bas
             nexts = np.append(on[1:][np.diff(on) > 1], out.shape[0])
             for end, stop in zip(ends, nexts):
                 stop = min(end + 1 + len(behind), stop)
-                out[end + 1 : stop, c] = np.minimum(out[end + 1 : stop, c], behind[: max(0, stop - end - 1)])
+                rise = own[end, c] + (1 - own[end, c]) * behind[: max(0, stop - end - 1)]
+                out[end + 1 : stop, c] = np.minimum(out[end + 1 : stop, c], rise)
             at = np.arange(on[0] - 1, max(-1, on[0] - 1 - len(ahead)), -1)
-            out[at, c] = np.minimum(out[at, c], ahead[: len(at)])
-    fitted = center_fit(rotate(out, direction, 1, fill=1.0), heights.shape, 1.0)
-    return fitted if base is None else fitted * base
+            out[at, c] = np.minimum(out[at, c], own[on[0], c] + (1 - own[on[0], c]) * ahead[: len(at)])
+    if base is not None:
+        out[mask] = own[mask]
+    return np.clip(center_fit(rotate(out, -direction, 1, fill=1.0), heights.shape, 1.0), 0, 1)
+
+
+def gaussian(a: np.ndarray, sigma: float) -> np.ndarray:
+    """A Gaussian mean over four sigma that repeats the border pixels beyond the border."""
+    r = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    w /= w.sum()
+    for axis in (0, 1):
+        padded = np.pad(a, [(r, r) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
+        a = sum(x * padded.take(range(k, k + a.shape[axis]), axis) for k, x in enumerate(w))
+    return a
+
+
+def erode_disc(a: np.ndarray, radius: int) -> np.ndarray:
+    """The least value in a disc; border pixels repeat beyond the border."""
+    padded, out = np.pad(a, radius, mode="edge"), a.copy()
+    for i in range(-radius, radius + 1):
+        for j in range(-radius, radius + 1):
+            if i * i + j * j <= radius * radius:
+                np.minimum(out, padded[radius + i : radius + i + a.shape[0], radius + j : radius + j + a.shape[1]], out=out)
+    return out
+
+
+def tree_base(height: np.ndarray, z0_ref: float, least: float, most: float, z: float = 10.0) -> np.ndarray:
+    """Coefficient at height z over or in the trees of each pixel (leaf area index 2, fully covered)."""
+    den = math.log(max(z, 1.01 * z0_ref) / max(z0_ref, 1e-6)) or 1e-6
+    h = np.maximum(height, 1e-6)
+    z0, alpha = np.maximum(0.1 * h, 0.05), min(max(0.5 + 0.4 * 2.0, 0.2), 2.5)
+    inside = np.exp(-alpha * np.maximum(0, 1 - z / h)) * np.log(np.maximum(0.3 * h / z0, 1.01)) / den
+    ratio = (z - 0.7 * h) / z0
+    over = np.log(np.where(ratio <= 1, 1.01, ratio)) / den
+    return np.where(height > 0, np.clip(np.where(height > z, inside, over), least, most), 1.0)
+
+
+def wind_coefficient(heights: np.ndarray, trees: np.ndarray, direction: float, pixel: float = 1.0, z0_ref: float = 0.03, least: float = 0.1, most: float = 1.0) -> np.ndarray:
+    """Wakes of buildings and trees, smoothed over 6 m, then 40 m, between buildings; NaN on buildings."""
+    floor, built, wooded = 0.01, heights > 0, trees > 0
+    wakes = np.clip(building_wake(heights, direction, pixel), floor, most)
+    if wooded.any():
+        r = max(1, round(10 / pixel))
+        base = np.clip(tree_base(trees, z0_ref, least, most), floor, most)
+        base = np.where(wooded, erode_disc(base, r), base)
+        behind = building_wake(trees, direction, pixel, base)
+        behind = np.where(wooded, erode_disc(behind, r), behind)
+        wakes = np.clip(wakes * np.clip(behind, floor, most), floor, most)
+    out = np.where(built, np.nan, wakes)
+    for window in (6.0, 40.0):
+        sigma = max(window / (2 * pixel), 0.5)
+        weight = gaussian((~built).astype(float), sigma)
+        out = np.where(built | (weight <= 1e-6), np.nan, gaussian(np.where(np.isnan(out), 0.0, out), sigma) / np.maximum(weight, 1e-6))
+    return np.clip(out, least, most)
 
 
 def nearest_fill(a: np.ndarray) -> np.ndarray:

@@ -60,8 +60,9 @@ class State:
 class Geometry:
     """A tile's fixed fields: surface, vegetation, walls, sky view and patch visibility."""
 
-    def __init__(self, dsm, dem, tree, lc=None, option: int = 2, scale: float = 1.0):
+    def __init__(self, dsm, dem, tree, lc=None, option: int = 2, scale: float = 1.0, coefficients=None):
         self.scale, self.option = scale, option
+        self.coefficients = coefficients or {}  # wind, by direction bin
         self.dsm = dsm
         self.canopy, self.trunk, self.bush, self.amax = vegetation(dsm, dem, tree)
         self.ground = (dsm - dem < 2).astype(float)
@@ -165,7 +166,8 @@ def step(g: Geometry, met: dict, state: State) -> dict[str, np.ndarray]:
     l_sides = 0.5 * sum(fluxes["lup" + d] for d in _DIRS)
     absorbed = ABS_K * (kside * F_CYL + (kdown + kup[""]) * F_UP + k_sides * F_SIDE) + ABS_L * ((ldown + fluxes["lup"]) * F_UP + lside * F_CYL + l_sides * F_SIDE)
     tmrt = np.sqrt(np.sqrt(absorbed / (ABS_L * SIGMA))) - 273.2
-    wind = np.maximum(met.get("coef", 1.0) * met["va"] * np.ones(shape), 0.15)
+    from_ = int((met["wd"] % 360 + 15) // 30 * 30) % 360 if met["wd"] >= 0 else None
+    wind = np.maximum(g.coefficients.get(from_, 1.0) * met["va"] * np.ones(shape), 0.15)
     air = ta + met.get("uhi", 0.0)
     ground = g.ground > 0
     out = {"tmrt": tmrt, "kdown": kdown, "kup": kup[""], "ldown": ldown, "lup": fluxes["lup"], "shadow": shadow, "wind": wind, "ta": np.full(shape, air)}
@@ -296,20 +298,23 @@ def _luminance(p):
     return (1 + F.col("pz_a") * F.exp(F.col("pz_b") / F.cos(F.radians(90 - p["a"])))) * (1 + F.col("pz_c") * F.exp(F.col("pz_d") * g) + F.col("pz_e") * cos_g * cos_g)
 
 
-def simulate(scene: DataFrame, timeline: DataFrame, outputs: tuple[str, ...] = ("utci",), key: str = "tile", landcover: bool = False, scale: float = 1.0, option: int = 2) -> DataFrame:
+def simulate(scene: DataFrame, timeline: DataFrame, outputs: tuple[str, ...] = ("utci",), key: str = "tile", landcover: bool = False, scale: float = 1.0, option: int = 2, coefficients: DataFrame | None = None) -> DataFrame:
     """Run all steps on every tile: key, step, row, col and the requested outputs.
 
+    coefficients (key, dir, row, col, coef) scale the wind by its direction's bin of 30 degrees; 1 where none is given.
+
     The timeline is broadcast to tasks as plain rows: its length is a number of hours.
     """
     rows = [r.asDict() for r in timeline.orderBy("step").collect()]
     shared = scene.sparkSession.sparkContext.broadcast(rows)
+    bins = range(0, 360, 30) if coefficients is not None else ()
     unknown = set(outputs) - set(OUTPUTS)
     if unknown:
         raise ValueError(f"no such outputs: {sorted(unknown)}")
 
     def run(group: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        g = Geometry(*(to_array(table, n) for n in ("dsm", "dem", "tree")), to_array(table, "lc") if landcover else None, option, scale)
+        g = Geometry(*(to_array(table, n) for n in ("dsm", "dem", "tree")), to_array(table, "lc") if landcover else None, option, scale, {d: to_array(table, f"coef{d}", 1.0) for d in bins})
         row, col = table["row"].to_numpy(), table["col"].to_numpy()
         state, parts = State(), []
         for met in shared.value:
@@ -320,4 +325,8 @@ def simulate(scene: DataFrame, timeline: DataFrame, outputs: tuple[str, ...] = (
     kind = scene.schema[key].dataType.simpleString()
     inputs = [F.col(c).cast("double").alias(c) for c in ("dsm", "dem", "tree", *(["lc"] if landcover else []))]
     picked = scene.select(key, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *inputs)
+    if coefficients is not None:
+        wide = coefficients.groupBy(key, "row", "col").agg(*[F.first(F.when(F.col("dir") == d, F.col("coef")), True).alias(f"coef{d}") for d in bins])
+        picked = picked.join(wide, [key, "row", "col"], "left")
+        picked = picked.withColumns({f"coef{d}": F.when(F.col(f"coef{d}").isNull(), 1.0).otherwise(F.col(f"coef{d}")) for d in bins})
     return picked.groupBy(key).applyInArrow(run, f"{key} {kind}, step int, row int, col int, " + ", ".join(f"{n} double" for n in outputs))

@@ -99,3 +99,17 @@ def wake_coefficients(df: DataFrame, directions: list[int], key: str = "tile", p
     kind = df.schema[key].dataType.simpleString()
     dealt = df.select(key, "row", "col", F.col("h").cast("double").alias("h"), F.explode(F.array(*map(F.lit, directions))).alias("dir"))
     return dealt.groupBy(key, "dir").applyInArrow(run, f"{key} {kind}, dir int, row int, col int, coef double")
+
+
+def wind_coefficients(df: DataFrame, directions: list[int], key: str = "tile", pixel: float = 1.0, z0_ref: float = 0.03, least: float = 0.1, most: float = 1.0) -> DataFrame:
+    """Directional wind coefficients of buildings (h) and trees (tree), smoothed; NaN on buildings."""
+
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        out = kernels.wind_coefficient(to_array(table, "h"), to_array(table, "tree"), float(group[1].as_py()), pixel, z0_ref, least, most)
+        row, col = table["row"].to_numpy(), table["col"].to_numpy()
+        return pa.table({key: table[key], "dir": table["dir"], "row": table["row"], "col": table["col"], "coef": pa.array(out[row, col])})
+
+    kind = df.schema[key].dataType.simpleString()
+    dealt = df.select(key, "row", "col", *[F.col(c).cast("double").alias(c) for c in ("h", "tree")], F.explode(F.array(*map(F.lit, directions))).alias("dir"))
+    return dealt.groupBy(key, "dir").applyInArrow(run, f"{key} {kind}, dir int, row int, col int, coef double")

@@ -127,6 +127,30 @@ def test_labels_fill_rotation_and_wakes():
     assert w[13, 9] == 0 and 0 < w[16, 9] < w[20, 9] <= 1 and w[20, 1] == 1
 
 
+def test_wind_coefficients_reach_the_simulation(spark):
+    h = np.zeros((30, 40))
+    h[12:18, 18:22] = 10
+    w = kernels.building_wake(h, 90.0)  # wind from the east: the long wake lies to the west
+    assert w[14, 17] == 0 and w[14, 10] < w[14, 29]
+    assert np.allclose(kernels.building_wake(h[:, ::-1], 270.0)[:, ::-1], w)
+    one = np.ones((30, 40))
+    assert np.allclose(kernels.gaussian(one, 20.0), 1) and kernels.gaussian(np.eye(9), 1.0).sum() > 8.9
+    trees = np.zeros((30, 40))
+    trees[12:18, 18:22] = 8
+    c = kernels.wind_coefficient(h * 0, trees, 0.0)
+    assert c.min() >= 0.1 and c.max() <= 1 and c[15, 20] < c[0, 0]
+    rows = [("t", r, k, float(h[r, k]), 0.0, 6.0 * (r == 2 and k == 3)) for r in range(30) for k in range(40)]
+    df = spark.createDataFrame(rows, "tile string, row int, col int, dsm double, dem double, tree double")
+    coef = api.build_wind_ext_coeff(df)
+    line = "2009 223 %d 0 -999 -999 -999 -999 -999 3.0 60 20 101.3 0 0 -999 -999 -999 -999 -999 -999 -999 -999 {}"
+    for wd, bin_ in (("350", 0), ("-999", None)):
+        met = metfile.parse(spark.createDataFrame([(line.format(wd) % k,) for k in (0, 1)], "value string"))
+        got = api.run_utci_tiles(df, met, 40.0, -74.0, outputs=("wind",), coefficients=coef).filter("step = 1").join(coef.filter(F.col("dir") == (bin_ or 0)), ["tile", "row", "col"]).toPandas()
+        open_ = got.coef.notna()
+        want = np.maximum(3 * got.coef, 0.15) if bin_ is not None else 3.0 + 0 * got.coef
+        assert len(got) == 1200 and open_.sum() == 1200 - 24 and np.allclose(got.wind[open_], want[open_]) and got.coef[open_].min() < 0.97
+
+
 def test_components_match_kernel(spark):
     rng = np.random.default_rng(6)
     mask = rng.random((15, 18)) > 0.5
