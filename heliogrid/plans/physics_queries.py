@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import comfort, humidity, radiation, solar
 from ..functions.expr import column, num
-from ..operators import rays
+from ..operators import grid, rays
 from ..operators.columns import sql_columns, with_columns
 from .fixtures import FACTS, SCENE, facts, rounded, scene, table
 
@@ -233,9 +233,24 @@ def patch_longwave_two_pass(spark, sf_dir):
     return rounded(g.select("vec_id", "sky", "sunlit", "shaded", (F.col("m") * 0.5 / 3.141592653589793 * (F.col("down") + 300.0) * 0.1).alias("reflected")))
 
 
+TILE, OVERLAP = 1000, 20
+
+
+def _tiled(pixels, size: int = TILE, overlap: int = OVERLAP):
+    """The scene in overlapping tiles, numbered downwards: it is no wider than one."""
+    last = pixels.agg(F.coalesce(F.max("row"), F.lit(0)).alias("row"), F.coalesce(F.max("col"), F.lit(0)).alias("col")).first()
+    dealt = grid.tiles(pixels, size, overlap, last["row"] + 1, last["col"] + 1)
+    return dealt.withColumns({"tile": (F.col("tj") / size).cast("int"), "row": (F.col("row") - F.col("tj")).cast("int")}).drop("ti", "tj")
+
+
+def _own(df, size: int = TILE):
+    """Each pixel once: from the tile that it is in, not from an overlap."""
+    return df.filter(F.col("row") < size)
+
+
 @query()
 def simulation_day(spark, sf_dir):
-    """A day of 24 steps on the scene, in tiles of 100 x 50 pixels: mean Tmrt and UTCI by tile and step."""
+    """A day of 24 steps on the scene, in tiles of 1000 rows and an overlap of 20: mean Tmrt and UTCI by tile and step."""
     from ..operators import simulation
     from ..sources import metfile
 
@@ -243,8 +258,8 @@ def simulation_day(spark, sf_dir):
     sun = F.greatest(F.sin((F.col("h") - 6) / 12 * 3.141592653589793), F.lit(0.0)) * 900
     line = F.format_string("2009 223 %d 0 -999 -999 -999 -999 -999 1.5 60 %.2f 101.3 0 %.2f -999 -999 -999 -999 -999 -999 -999 -999 -999", "h", 20 + 6 * F.sin((F.col("h") - 8) / 12 * 3.141592653589793), sun)
     weather = simulation.weather(metfile.parse(hours.select(line.alias("value"))), 40.0, -74.0, -5.0)
-    tiled = scene(spark, sf_dir).withColumn("tile", F.floor(F.col("row") / 100).cast("int")).withColumn("row", F.col("row") % 100)
-    out = simulation.simulate(tiled, weather, ("utci", "tmrt"))
+    tiled = _tiled(scene(spark, sf_dir))
+    out = _own(simulation.simulate(tiled, weather, ("utci", "tmrt")))
     utci = F.nanvl("utci", F.lit(None))
     return rounded(out.groupBy("tile", "step").agg(F.avg("tmrt").alias("tmrt"), F.avg(utci).alias("utci"), F.count(F.lit(1)).alias("pixels")), 4)
 
@@ -254,13 +269,13 @@ def sky_view_factors(spark, sf_dir):
     """All sky-view fields, by (tile, chunk of patches) tasks."""
     from ..operators import tiles
 
-    tiled = scene(spark, sf_dir).withColumn("tile", F.floor(F.col("row") / 100).cast("int")).withColumn("row", F.col("row") % 100)
-    return rounded(tiles.sky_view_factors(tiled))
+    tiled = _tiled(scene(spark, sf_dir))
+    return rounded(_own(tiles.sky_view_factors(tiled)))
 
 
 @query()
 def wall_aspect_filter(spark, sf_dir):
-    from ..operators import grid, tiles
+    from ..operators import tiles
 
     tiled = scene(spark, sf_dir).withColumn("tile", F.lit("a"))
     return rounded(tiles.wall_aspects(grid.wall_heights(tiled, keys=["tile"])))
@@ -270,5 +285,5 @@ def wall_aspect_filter(spark, sf_dir):
 def wake_coefficients(spark, sf_dir):
     from ..operators import tiles
 
-    tiled = scene(spark, sf_dir).select(F.floor(F.col("row") / 100).cast("int").alias("tile"), (F.col("row") % 100).alias("row"), "col", (F.col("dsm") - F.col("dem")).alias("h"))
-    return rounded(tiles.wake_coefficients(tiled, [0, 90, 180, 270]))
+    tiled = _tiled(scene(spark, sf_dir)).select("tile", "row", "col", (F.col("dsm") - F.col("dem")).alias("h"))
+    return rounded(_own(tiles.wake_coefficients(tiled, [0, 90, 180, 270])))

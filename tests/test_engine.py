@@ -230,6 +230,19 @@ def test_tiling_covers_and_overlaps(spark):
     assert {r.tile for r in grid.tiles(df, 10, 2, 10, 7).select("tile").distinct().collect()} == {"0_0"}
 
 
+def test_query_tiles_overlap(spark):
+    from heliogrid.plans import physics_queries as q
+
+    rows = [(r, c, 20.0 * (20 <= r < 24 and 3 <= c < 6)) for r in range(40) for c in range(8)]
+    df = spark.createDataFrame(rows, "row int, col int, h double")
+    small = q._own(tiles.wake_coefficients(q._tiled(df, 20, 12), [180]), 20).withColumn("row", F.col("row") + 20 * F.col("tile"))
+    whole = q._own(tiles.wake_coefficients(q._tiled(df), [180]))
+    a, b = ({(r.row, r.col): r.coef for r in x.collect()} for x in (small, whole))
+    assert len(a) == small.count() == 320 and a.keys() == b.keys()
+    assert b[19, 4] < 0.1 and all(abs(a[k] - b[k]) < 1e-9 for k in a if k[0] < 20)
+    assert {r.tile for r in q._tiled(df.withColumn("row", F.col("row") * 10)).select("tile").distinct().collect()} == {0}
+
+
 def test_images_and_json():
     rgba = images.ramp(np.array([[0.0, 1.0, np.nan]]), 0, 1)
     assert rgba[0, 0, :3].tolist() == [49, 54, 149] and rgba[0, 2, 3] == 0
