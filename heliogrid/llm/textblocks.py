@@ -3,7 +3,8 @@
 Everything works on the raw UTF-8 buffer of an Arrow string column, so no Python
 object is made per word.  A *block* is a run of whole documents of about
 ``CHUNK_BYTES`` (one longer document forms a block of its own), which bounds the
-memory of every temporary array by a constant times the longest document.
+memory of every temporary array by a constant times the longest document.  A text of
+any length is worked on whole.
 
 A word is a maximal run of bytes other than space and ``\\x09-\\x0D``; as these are
 ASCII, a word of bytes is a word of code points.
@@ -20,8 +21,6 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _STEP = U64(0xD6E8FEB86659FD93)
 
 SPACE = np.zeros(256, bool)
@@ -29,25 +28,9 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = {}
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    have = _powers.get("n", 0)
-    if have < n:
-        n = max(n, CHUNK_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            out = np.empty(n, U64)
-            out[0] = 1
-            done = 1
-            while done < n:  # doubling: B**(i+done) = B**i * B**done
-                more = min(done, n - done)
-                np.multiply(out[:more], U64(pow(base, done, 1 << 64)), out=out[done : done + more])
-                done += more
-            _powers[name] = out
-        _powers["n"] = n
-    return _powers["up"], _powers["down"]
+#: Masks of the last lane of a span, by its bytes modulo 8.
+_TAIL = np.array([0xFFFFFFFFFFFFFFFF, *[(1 << 8 * k) - 1 for k in range(1, 8)]], U64)
+_LANE = U64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -128,14 +111,39 @@ def words(b: Block) -> Words:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
-    if len(start) == 0:
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand.
+
+    A span is read in lanes of 8 bytes.  Every lane is mixed with its place, which is not
+    linear, so that no rule of the text makes differences cancel; the sum is mixed with the
+    length.
+    """
+    n = len(start)
+    if n == 0:
         return np.zeros(0, U64)
-    up, down = _power_table(len(data) + 1)
-    total = np.empty(len(data) + 1, U64)
-    total[0] = 0
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + U64(seed))
+    length = (end - start).astype(np.int64)
+    lanes = (length + 7) >> 3
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    wide = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    out = np.zeros(n, U64)
+    if int(lanes.max(initial=0)) <= 4:  # words: lane by lane, over the spans that have it
+        at, k = np.flatnonzero(lanes), 0
+        while len(at):
+            x = wide[start[at] + 8 * k]
+            left = length[at] - 8 * k
+            x = np.where(left < 8, x & _TAIL[left & 7], x)
+            out[at] += mix(x ^ mix(_LANE * np.array([k + 1], U64)))
+            k += 1
+            at = at[left > 8]
+    else:
+        some = np.flatnonzero(lanes)
+        first = np.cumsum(lanes[some]) - lanes[some]
+        k = np.arange(int(lanes.sum())) - np.repeat(first, lanes[some])
+        x = wide[np.repeat(start[some], lanes[some]) + 8 * k]
+        last = first + lanes[some] - 1
+        x[last] &= _TAIL[length[some] & 7]
+        out[some] = np.add.reduceat(mix(x ^ mix(_LANE * (k + 1).astype(U64))), first)
+    return mix(out + length.astype(U64) * _STEP + U64(seed))
 
 
 def window_hashes(h: np.ndarray, w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
