@@ -11,7 +11,8 @@ For scoring, the exact code lengths of every (context, symbol) are tabulated onc
 ``GROUP`` languages together, so a byte costs two look-ups a group.
 
 Bound.  Trees are trained on about ``sample_docs`` documents a language, those with ids of
-lowest hash, at most ``sample_bytes`` of text each language.  Every language of the training
+lowest hash, at most ``sample_bytes`` of text each language; the document that crosses that
+bound is the last, and of it the first ``sample_bytes`` characters are learnt.  Every language of the training
 rows is trained and every text is scored whole: more than ``GROUP`` languages are trained
 and scored in passes over the texts at hand, each of which holds one group's tables and
 carries the best so far.
@@ -20,7 +21,8 @@ Letters are compared without case: A-Z, and capitals of Latin-1 as coded in UTF-
 
 Defined results.  A null text, or one without a letter, is ``und`` with score 0; so is
 every text if there is nothing to learn from.  Ties go to the language that sorts first.
-Null ids and languages are not learnt from.  Repeated rows get equal results.  An empty
+Null ids and languages are not learnt from.  A text of any length is scored whole, as one
+block.  Repeated rows get equal results.  An empty
 table gives an empty result.  An input column named like a result is replaced.
 """
 
@@ -84,10 +86,10 @@ class Model:
         for back in range(MAX_ORDER, 0, -1):
             context *= k
             context[back:] += c[:-back]
-        state = self.state[context]
-        for i in range(MAX_ORDER):  # a text's first bytes have no full context
+        for i in range(MAX_ORDER):  # a text's first bytes have the context of those before them in it
             at = b.starts + i
-            state[at[at < b.ends]] = 0
+            context[at[at < b.ends]] %= k**i
+        state = self.state[context]
         lengths = self.bits[state * k + c]
         for j in range(len(self.languages)):
             out[some, j] = np.add.reduceat(lengths[:, j].astype(np.float64), b.starts[some])
@@ -166,15 +168,15 @@ class Trained:
         # Documents whose hash lies in the lowest sample_docs / n of all hashes: a bounded sample without a sort.
         h, lang, wanted = F.col("h"), F.col("lang"), self.groups[group]
         part = F.coalesce(*[F.when(lang == name, (h < self.sample_docs / n) | (h == low)) for name, n, low in wanted])
-        place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
-        rows = self.usable.filter(part).withColumn("k", place).filter(F.col("k") <= 2 * self.sample_docs).orderBy("h", "lang", "t").collect()
-        texts: dict[str, list[bytes]] = {}
-        used: dict[str, int] = {}
-        for r in rows:
-            if used.get(r["lang"], 0) < self.sample_bytes:
-                data = r["t"].encode()
-                texts.setdefault(r["lang"], []).append(data)
-                used[r["lang"]] = used.get(r["lang"], 0) + len(data)
+        rows = self.usable.filter(part).withColumn("size", F.octet_length("t"))
+        by_hash = Window.partitionBy("lang").orderBy("h", "size", F.xxhash64("t"))
+        before = by_hash.rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("k", F.row_number().over(by_hash)).withColumn("used", F.coalesce(F.sum("size").over(before), F.lit(0)))
+        rows = rows.filter((F.col("k") <= 2 * self.sample_docs) & (F.col("used") < self.sample_bytes))
+        rows = rows.select("lang", F.encode(F.substring("t", 1, self.sample_bytes), "UTF-8").alias("t"), "h", "size").orderBy("h", "lang", "size", F.xxhash64("t"))
+        texts: dict[str, list[bytes]] = {name: [] for name, _, _ in wanted}
+        for r in rows.collect():  # per language less than sample_bytes and one text of sample_bytes characters
+            texts[r["lang"]].append(bytes(r["t"]))
         return build(texts)
 
 

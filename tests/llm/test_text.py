@@ -48,6 +48,22 @@ def test_hashes_do_not_depend_on_place():
     assert first[0] == second[1] and len(set(s.tolist())) == 3
 
 
+def opposite(n):
+    """Two texts of n letters that a polynomial hash modulo a power of two cannot tell apart."""
+    one = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+    return one, one.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_structured_words_and_lines_are_told_apart(n):
+    one, two = opposite(n)
+    (b,) = blocks(pa.array([f"{one}\n{two}\n", f"{one} {two}", f"{one}\n{one}", one]))
+    w = words(b)
+    h = span_hashes(b.data, w.start, w.end)
+    assert len(set(h.tolist())) == 2 and h[0] == h[2] == h[4] == h[6]
+    assert quality.duplicate_lines(b).tolist() == [0, 0, 1, 0]
+
+
 def brute_bits(train: list[bytes], text: bytes) -> float:
     """Code length of text under PPM-C of order 3, by dictionaries."""
     table = {}
@@ -59,7 +75,7 @@ def brute_bits(train: list[bytes], text: bytes) -> float:
     seen = {x for t in train for x in t}
     for i, s in enumerate(text):
         # a context holding a byte that training never had is not in any tree
-        for k in range(3 if i >= 3 else 0, -1, -1):
+        for k in range(min(i, 3), -1, -1):
             context = table.get(text[i - k : i])
             if not context:
                 continue
