@@ -30,6 +30,25 @@ def test_matches_brute_force(spark):
     assert sorted(map(tuple, out.collect()), key=str) == brute(rows)
 
 
+def test_blocks_and_bounds_lose_nothing(monkeypatch):
+    """Whole, in small blocks, dense and sparse: the links are those of all products."""
+    rng = np.random.default_rng(4)
+    for spread in (0.1, 0.35, 2.0):
+        x = rng.normal(size=(6, 60))[rng.integers(0, 6, 300)] + spread * rng.normal(size=(300, 60))
+        axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        want = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.9)) if i < j}
+        ids = np.arange(300)
+        for block in (1024, 37):
+            monkeypatch.setattr(nearvec, "BLOCK", block)
+            t = nearvec.prepare(x, axes, ids, ids)
+            i, j = nearvec.tile_links(t, t, 0.9, True)
+            assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
+            one, two = nearvec.prepare(x[:130], axes, ids[:130], ids[:130]), nearvec.prepare(x[130:], axes, ids[130:], ids[130:])
+            i, j = nearvec.tile_links(one, two, 0.9, False)
+            assert set(zip(i.tolist(), (j + 130).tolist())) == {(a, b) for a, b in want if a < 130 <= b}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert nearvec.near_duplicates(df).count() == 0
