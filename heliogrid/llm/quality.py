@@ -5,15 +5,20 @@ The classifier is a logistic regression over hashed word uni- and bigrams and ha
 calibrated by Platt's method on a held-out part of them.  Scores are computed in Arrow
 batches and held against fixed thresholds.
 
-Bound.  The model is fitted on at most ``sample_rows`` labelled documents, those with the
-lowest hash of their id; everything else covers all rows and whole texts.  The weights
-are 3 * 2**BITS numbers, whatever the input.
+Bound.  The model is fitted on at most ``sample_rows`` labelled documents of at most
+``sample_bytes`` together, taken in the order of the hash of their id; one that does not
+fit into what is left of the bytes is passed over.  Everything else covers all rows and
+whole texts.  One task of an executor fits the model, and the driver gets its weights,
+3 * 2**BITS numbers, whatever the input.
 
 Defined results.  A null or wordless text has all counts 0, fails the base rules and has
 probability null.  Null or clashing other columns are not read.  Repeated rows get equal
 results.  If the labelled rows lack one of the two classes, no model is fitted and every
-document that passes the base rules is kept, with probability null.  Labels that are null,
-or whose document is absent, are not used.  An empty table gives an empty result.
+document that passes the base rules is kept, with probability null.  Labels other than 0
+and 1, and those whose document is absent or has a null text, are not used and do not
+count towards the bound; equal rows of one id and label are used once.  Ties in hash go
+by id, label and text.  A text of any length is counted and scored whole, as one block.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textblocks import U64, Block, Words, blocks, mix, span_hashes, window_hashes, words
 
 SAMPLE_ROWS = 3000
+SAMPLE_BYTES = 12 << 20
 BITS = 16
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -127,7 +134,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * z + self.c, -500, 500)))
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = 80, l2: float = 1e-4) -> Model | None:
+def fit(texts: pa.Array, labels: np.ndarray, steps: int = 80, l2: float = 1e-4) -> Model | None:
     """Fit on texts with labels 0 or 1; every fifth row is held out for calibration."""
     y = np.asarray(labels, np.float64)
     if len(set(y.tolist())) < 2:
@@ -142,9 +149,9 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 80, l2: float = 1e-4)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
             key, count = np.unique(doc.astype(np.int64) << 32 | f[at].astype(np.int64), return_counts=True)
             doc = key >> 32
-            rows.append(doc + lo)
-            cols.append((key & 0xFFFFFFFF) + (k << BITS))
-            values.append(_SCALE[k] * count / n[doc])
+            rows.append((doc + lo).astype(np.int32))
+            cols.append(((key & 0xFFFFFFFF) + (k << BITS)).astype(np.int32))
+            values.append((_SCALE[k] * count / n[doc]).astype(np.float32))
         lo += len(b.starts)
     rows, cols, values = map(np.concatenate, (rows, cols, values))
     held = np.arange(len(y)) % 5 == 4
@@ -177,13 +184,41 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 80, l2: float = 1e-4)
     return Model(w.reshape(3, -1).astype(np.float32), float(bias), float(ab[0]), float(ab[1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fit a model on the ``sample_rows`` labelled documents whose ids hash lowest."""
-    lab = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    picked = lab.orderBy(F.xxhash64("id"), "id", "y").limit(sample_rows)
-    found = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(picked), "id")
-    rows = found.orderBy(F.xxhash64("id"), "id", "y", "t").limit(sample_rows).toArrow()
-    return fit(rows["t"].to_pylist(), rows["y"].to_numpy())
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Fit a model on the labelled documents whose ids hash lowest, within both bounds.
+
+    Ids, labels and lengths decide what is taken; only the texts taken are gathered, in the
+    task that fits.
+    """
+    y = F.col(label_col).cast("int")
+    lab = labels.filter(y.isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), y.alias("y"))
+    text = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    sized = text.select("id", F.octet_length("t").alias("size"), F.xxhash64("t").alias("h"))
+    order = [F.xxhash64("id"), "id", "y", "size", "h"]
+    known = sized.join(lab, "id").filter(F.col("size") <= sample_bytes).distinct().orderBy(*order).limit(sample_rows)
+    taken, left = [], sample_bytes
+    for r in known.select("id", "y", "size", "h").collect():  # sample_rows rows at most, without texts
+        if r["size"] <= left:
+            taken.append(tuple(r))
+            left -= r["size"]
+    if not taken:
+        return None
+    kind = T.StructType([known.schema["id"], T.StructField("y", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("place", T.IntegerType())])
+    picked = F.broadcast(docs.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(taken)], kind))
+    found = text.withColumn("size", F.octet_length("t")).join(picked, ["id", "size"]).filter(F.xxhash64("t") == F.col("h"))
+    found = found.groupBy("place").agg(F.first("y").alias("y"), F.first("t").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by("place").combine_chunks()
+        model = fit(table["t"].combine_chunks(), table["y"].to_numpy())
+        if model:
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.bias]), pa.array([model.a]), pa.array([model.c])], names=["weights", "bias", "a", "c"])
+
+    fitted = found.coalesce(1).mapInArrow(run, "weights binary, bias double, a double, c double").collect()  # one row, or none
+    return Model(np.frombuffer(fitted[0]["weights"], np.float32).reshape(3, -1), *fitted[0][1:]) if fitted else None
 
 
 _OUT = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("p_quality", "double"), ("kept", "boolean")]
