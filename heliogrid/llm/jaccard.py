@@ -5,21 +5,28 @@
 2. Each class gives out its pigeonhole keys (see ``parity``).  Within a task a class does
    so once, so a group of copies adds no rows.
 3. Keys are sorted; classes that share one are candidates.  Runs of up to FEW classes give
-   all their pairs.  Longer runs give a star around their first class, and are kept.
-4. Candidates pass the size bound and the sketches' Hamming bound, then the sets
+   all their pairs.  Longer runs give a star around their first class, and are kept.  A run
+   that is long already within one map task is made a star there, and only its head goes to
+   the key's task; so that task gets FEW + 1 rows from every map task at most.
+4. Candidates pass the size bound and the sketches' Hamming bound.  Then the sets
    themselves are intersected: of each class and its smallest partner first, then of the
-   pairs that are still apart.
-5. Links give components.  The members of a kept run that are still in different
-   components are compared by their sketches, in blocks of bounded size that give out only
-   what passes the Hamming bound; that is verified and the components closed again.
+   pairs that are still apart.  For that, the texts of the classes concerned are fetched
+   once, compressed, and dealt by pairs' first classes: one of them and up to STAR partners
+   meet in a task, so a text is shipped once a pair at most.
+5. Links give components.  Of the kept runs whose members are still in different components,
+   each class forgets the EXTRA most frequent ones of a band, which loses no pair (see
+   ``parity``) and ends the runs of passages that many documents share.  The members left are
+   compared by their sketches, in blocks of bounded size that give out only what passes the
+   Hamming bound; that is verified and the components closed again.
 
 No step drops a candidate that could reach the threshold, so the components are exact
 (up to collisions of 64-bit hashes).
 
 Defined results.  A text of fewer than ``n`` words is one shingle, its whole sequence; a
 null or wordless text has an empty set, links with nothing and is its own component.
-Rows with equal sets are linked; repeated rows are rows of their own.  A component's id is
-the smallest non-null id in it.  An empty table gives an empty result.  Extra columns are
+Rows with equal sets are linked; repeated rows are rows of their own.  A pair just at the
+threshold links.  A component's id is the smallest non-null id in it.  A text of any length
+is shingled whole, as one block.  An empty table gives an empty result.  Extra columns are
 not read.
 """
 
@@ -29,19 +36,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .parity import SKETCH_WORDS, Bands, distinct, keys, sketches
+from .parity import BAND_BITS, EXTRA, SHORT, SKETCH_WORDS, Bands, distinct, keys, sketches
 from .storage import written
-from .textblocks import LOWER, U64, blocks, mix, short_hashes, span_hashes, window_hashes, words
+from .textblocks import CHUNK_BYTES, LOWER, U64, blocks, mix, short_hashes, span_hashes, window_hashes, words
 
 FEW = 8
 #: Members of a long run that are compared at once.
-CHUNK = 2048
-#: Slots of the bitmap by which texts are picked for verification; texts picked in vain cost time only.
-SLOTS = 1 << 20
+CHUNK = 8192
+#: Partners that meet one class in one task.
+STAR = 64
+#: Bits of the filter by which texts are fetched; texts fetched in vain cost time only.
+SLOT_BITS = 24
+#: Keys that a map task sorts at once.
+SORTED_KEYS = 1 << 22
 
 
 def _sets(texts: pa.Array, n: int):
@@ -75,9 +87,26 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_shingles long, cls long, sketch array<long>")
 
 
-def _key_rows(docs: DataFrame, text_col: str, n: int, bands: Bands) -> DataFrame:
+def _stars(key: np.ndarray, cls: np.ndarray, few: int) -> pa.RecordBatch:
+    """Keys of one map task, sorted: runs longer than ``few`` become stars.
+
+    head is 0 for a class of a short run and the star's first class for all others.
+    """
+    order = np.lexsort((cls, key & ~SHORT))
+    key, cls = key[order], cls[order]
+    run = key & ~SHORT
+    start = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    length = np.diff(np.append(start, len(key)))
+    head = np.where(np.repeat(length > few, length), np.repeat(cls[start], length), 0)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), pa.array(head)], names=["key", "cls", "head"])
+
+
+def _key_rows(docs: DataFrame, text_col: str, n: int, bands: Bands, few: int) -> DataFrame:
+    """(key, cls, head): the keys of every class, once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held, count = [], 0
         for batch in batches:
             for _, s, doc, size, cls in _sets(batch.column(0), n):
                 new = np.zeros(len(size), bool)
@@ -87,58 +116,78 @@ def _key_rows(docs: DataFrame, text_col: str, n: int, bands: Bands) -> DataFrame
                         new[i] = True
                 use = new[doc]
                 k, owner = keys(s[use], doc[use], np.where(new, size, 0), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(cls[owner].view(np.int64))], names=["key", "cls"])
+                if len(k):
+                    held.append((k.view(np.int64), cls[owner].view(np.int64)))
+                    count += len(k)
+                if count >= SORTED_KEYS:
+                    yield from _in_slices(_stars(*map(np.concatenate, zip(*held)), few))
+                    held, count = [], 0
+        if held:
+            yield from _in_slices(_stars(*map(np.concatenate, zip(*held)), few))
+
+    return docs.select(text_col).mapInArrow(run, "key long, cls long, head long")
+
 
-    return docs.select(text_col).mapInArrow(run, "key long, cls long")
+def _in_slices(batch: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(batch), rows):
+        yield batch.slice(lo, rows)
 
 
-def _run_pairs(key: np.ndarray, cls: np.ndarray, few: int) -> list[np.ndarray]:
-    """(a, b, key) of whole runs of equal keys, sorted and free of repeats; b is null (0) with kept = 1 for members."""
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+def _run_pairs(key: np.ndarray, cls: np.ndarray, starred: np.ndarray, few: int) -> pa.RecordBatch:
+    """(a, b, null) for pairs and (a, null, key) for members of long runs, of whole runs of keys equal but for SHORT.
+
+    A run is long if it has more than ``few`` classes or one of them heads a star.
+    """
+    run = key & ~SHORT
+    start = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(key) else np.zeros(0, np.int64)
     length = np.diff(np.append(start, len(key)))
-    per = np.repeat(length, length)
-    out = []
-    small = per <= few
+    small = (length <= few) & (np.add.reduceat(starred, start) == 0) if len(key) else np.zeros(0, bool)
+    short = np.repeat(small, length)
+    a, b = [], []
     for d in range(1, few):
-        hit = (key[:-d] == key[d:]) & small[d:] if len(key) > d else np.zeros(0, bool)
-        at = np.flatnonzero(hit)
-        out.append(np.stack([cls[at], cls[at + d], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)], 1))
-    at = np.flatnonzero(~small)
-    if len(at):
-        head = np.repeat(start, length)[at]
-        out.append(np.stack([cls[at], np.zeros(len(at), np.int64), key[at], np.ones(len(at), np.int64)], 1))
-        at, head = at[at != head], head[at != head]
-        out.append(np.stack([cls[head], cls[at], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)], 1))
-    return out
+        at = np.flatnonzero((run[:-d] == run[d:]) & short[d:]) if len(key) > d else np.zeros(0, np.int64)
+        a.append(cls[at])
+        b.append(cls[at + d])
+    at = np.flatnonzero(~short)
+    first = np.repeat(start, length)[at]
+    ray = at != first
+    return _hits(np.concatenate([*a, cls[first[ray]]]), np.concatenate([*b, cls[at[ray]]]), cls[at], key[at])
+
+
+def _hits(a: np.ndarray, b: np.ndarray, member: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    pair = np.arange(len(a) + len(member)) < len(a)
+    arrays = [np.concatenate([a, member]), np.concatenate([b, member]), np.concatenate([np.zeros(len(a), np.int64), key])]
+    masks = [None, ~pair, pair]
+    return pa.RecordBatch.from_arrays([pa.array(x, mask=m) for x, m in zip(arrays, masks)], names=["a", "b", "key"])
 
 
 def _collisions(rows: DataFrame, few: int) -> DataFrame:
     """Candidates from keys: pairs (a, b), and the members (a, key) of long runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def flush(k, c):
-            found = _run_pairs(k, c, few)
-            if found:
-                x = np.concatenate(found)
-                kept = x[:, 3] == 1
-                return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1], mask=kept), pa.array(x[:, 2], mask=~kept)], names=["a", "b", "key"])
-
+        none = np.zeros(0, np.int64)
+        key, cls, star = none, none, none
         for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            cls = np.concatenate([cls, batch.column(1).to_numpy()])
+            k, c, h = (batch.column(i).to_numpy() for i in range(3))
+            ray = (h != 0) & (h != c)
+            if ray.any():
+                yield _hits(np.minimum(c, h)[ray], np.maximum(c, h)[ray], c[ray], k[ray])
+            key, cls, star = (np.concatenate(x) for x in ((key, k[~ray]), (cls, c[~ray]), (star, (h != 0)[~ray].astype(np.int64))))
             new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-            key, cls = key[new], cls[new]
-            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last run may go on
-            if cut and (out := flush(key[:cut], cls[:cut])) is not None:
-                yield out
-            key, cls = key[cut:], cls[cut:]
-        if (out := flush(key, cls)) is not None:
-            yield out
-
-    return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "a long, b long, key long")
+            new[1:] = (key[1:] & ~SHORT != key[:-1] & ~SHORT) | (cls[1:] != cls[:-1])
+            if not new.all():
+                star = np.add.reduceat(star, np.flatnonzero(new))
+                key, cls = key[new], cls[new]
+            cut = int(np.searchsorted(key & ~SHORT, key[-1] & ~SHORT)) if len(key) else 0  # the last run may go on
+            if cut:
+                yield _run_pairs(key[:cut], cls[:cut], star[:cut], few)
+            key, cls, star = key[cut:], cls[cut:], star[cut:]
+        yield _run_pairs(key, cls, star, few)
+
+    ray = (F.col("head") != 0) & (F.col("head") != F.col("cls"))
+    whole = F.col("key").bitwiseAND(F.lit(~SHORT))
+    dealt = rows.repartition(F.when(ray, F.xxhash64("key", "cls")).otherwise(whole))
+    return dealt.sortWithinPartitions(whole, "cls").mapInArrow(run, "a long, b long, key long")
 
 
 def _close(pairs: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
@@ -152,57 +201,104 @@ def _close(pairs: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
     return written(close.select("a", "b"), "jaccard-close")
 
 
-def _links(close: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, bands: Bands) -> tuple[DataFrame, DataFrame]:
+def _slots(values: DataFrame, name: str) -> np.ndarray:
+    """A bit set of the leading bits of a column of hashes, of SLOT_BITS bits whatever the input, summed up in the executors."""
+    rows = values.select(F.shiftrightunsigned(name, 64 - SLOT_BITS).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << SLOT_BITS - 6, np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out
+
+
+def _has(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 6] >> (slots & 63)) & 1 == 1
+
+
+def _texts(close: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(cls, blob): the compressed texts of the classes in ``close``, from rows of their first ids.
+
+    Filters on ids, then on classes keep most others out; what passes in vain costs time only.
+    A task gives out a class once, so repeated rows add little.
+    """
+    wanted = close.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = written(classes.join(wanted, "cls", "left_semi").select(F.xxhash64("rep").alias("id"), "cls"), "jaccard-wanted")
+    shared = docs.sparkSession.sparkContext.broadcast((_slots(wanted, "id"), _slots(wanted, "cls")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        ids, named = shared.value
+        seen: set[int] = set()
+        for batch in batches:
+            batch = batch.filter(pa.array(_has(ids, batch.column(1).to_numpy())))
+            for b, _, _, _, cls in _sets(batch.column(0), n):
+                hit = np.flatnonzero(_has(named, (cls >> U64(64 - SLOT_BITS)).astype(np.int64)))
+                new = [i for i in hit.tolist() if not (int(cls[i]) in seen or seen.add(int(cls[i])))]
+                blobs = [press.compress(batch.column(0)[b.lo + i].as_buffer() or b"") for i in new]
+                yield pa.RecordBatch.from_arrays([pa.array(cls[new].view(np.int64)), pa.array(blobs, pa.binary())], names=["cls", "blob"])
+
+    slot = F.shiftrightunsigned(F.xxhash64(id_col), 64 - SLOT_BITS).alias("slot")
+    return written(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), slot).mapInArrow(run, "cls long, blob binary"), "jaccard-texts")
+
+
+def _links(close: DataFrame, texts: DataFrame, n: int, bands: Bands, star: int) -> tuple[DataFrame, DataFrame]:
     """Links that connect what all similar pairs of ``close`` connect, and the labels they give.
 
     Each class is first held against its smallest partner alone; of the other pairs only those
     that this leaves in different components can add anything.
     """
     first = written(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-first")
-    links = written(_verified(first, classes, docs, id_col, text_col, n, bands), "jaccard-links")
+    links = written(_verified(first, texts, n, bands, star), "jaccard-links")
     labels = components(links)
     name = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
     rest = close.join(first, ["a", "b"], "left_anti").join(name("a"), "a", "left").join(name("b"), "b", "left")
     rest = written(rest.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), "jaccard-rest")
     if rest.limit(1).count():
-        links = written(links.union(_verified(rest, classes, docs, id_col, text_col, n, bands)), "jaccard-links")
+        links = written(links.union(_verified(rest, texts, n, bands, star)), "jaccard-links")
         labels = components(links)
     return links, labels
 
 
-def _verified(close: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, bands: Bands) -> DataFrame:
-    """Those of the class pairs (a, b) whose sets are similar."""
-    num, den = bands.num, bands.den
-    wanted = close.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    slots = classes.join(wanted, "cls", "left_semi").select(F.pmod(F.xxhash64("rep"), F.lit(SLOTS)).alias("slot")).distinct().toArrow()["slot"].to_numpy()  # at most SLOTS numbers
-    bitmap = np.zeros(SLOTS, bool)
-    bitmap[slots] = True
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _verified(close: DataFrame, texts: DataFrame, n: int, bands: Bands, star: int) -> DataFrame:
+    """Those of the class pairs (a, b) whose sets are similar.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(shared.value[batch.column(1).to_numpy()]))
-            for _, s, doc, size, cls in _sets(batch.column(0), n):
-                order = np.lexsort((s, doc))
-                ends = np.cumsum(size) * 8
-                raw = s[order].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), pa.array([raw[e - 8 * k : e] for e, k in zip(ends.tolist(), size.tolist())], pa.binary())], names=["cls", "tokens"])
-
-    picked = docs.select(text_col, F.pmod(F.xxhash64(id_col), F.lit(SLOTS)).alias("slot")).mapInArrow(sets, "cls long, tokens binary")
-    picked = written(picked.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-sets")
+    a and up to about ``star`` of its partners make a group; a's text comes first in it.
+    """
+    num, den = bands.num, bands.den
+    degree = close.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / star).cast("int").alias("parts"))
+    rays = close.join(degree, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    heads = rays.select("a", "part", F.col("a").alias("cls"), F.lit(True).alias("head")).distinct()
+    asked = written(rays.select("a", "part", F.col("b").alias("cls"), F.lit(False).alias("head")).unionByName(heads), "jaccard-asked")
+    full = asked.join(texts, "cls")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        group, one = None, None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * common >= num * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    tokens = lambda x: picked.select(F.col("cls").alias(x), F.col("tokens").alias(f"tokens_{x}"))
-    full = close.join(tokens("a"), "a").join(tokens("b"), "b").select("a", "b", "tokens_a", "tokens_b")
-    return full.mapInArrow(verify, "a long, b long")
+            a, part, cls, head = (batch.column(i).to_pylist() for i in range(4))
+            found_a, found_b, lo = [], [], 0
+            while lo < len(batch):  # a few texts at a time, as they grow when opened
+                hi, raw, size = lo, [], 0
+                while hi < len(batch) and (size < CHUNK_BYTES or hi == lo):
+                    raw.append(open_.decompress(batch.column(4)[hi].as_buffer()))
+                    size += len(raw[-1])
+                    hi += 1
+                at = lo
+                at = lo
+                for _, s, _, sizes, _ in _sets(pa.array(raw, pa.binary()), n):
+                    for mine in np.split(s, np.cumsum(sizes)[:-1]):
+                        if head[at]:
+                            group, one = (a[at], part[at]), mine
+                        elif group == (a[at], part[at]):
+                            common = len(np.intersect1d(one, mine, assume_unique=True))
+                            if den * common >= num * (len(one) + len(mine) - common):
+                                found_a.append(a[at])
+                                found_b.append(cls[at])
+                        at += 1
+                lo = hi
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+
+    rows = full.select("a", "part", "cls", "head", "blob").repartition("a", "part")
+    rows = rows.sortWithinPartitions("a", "part", F.col("head").desc(), "cls")
+    return rows.mapInArrow(verify, "a long, b long").distinct()
 
 
 def _late_pairs(members: DataFrame, classes: DataFrame, bands: Bands, chunk: int) -> DataFrame:
@@ -255,7 +351,7 @@ def _late_pairs(members: DataFrame, classes: DataFrame, bands: Bands, chunk: int
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(compare, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, few: int = FEW, chunk: int = CHUNK) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, few: int = FEW, chunk: int = CHUNK, star: int = STAR) -> DataFrame:
     """Components under Jaccard similarity >= num/den of word n-shingles.
 
     Returns a row per row of ``docs``: id_col, n_shingles, component_id, cls (equal for
@@ -265,19 +361,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = written(profiles(docs, id_col, text_col, n), "jaccard-profiles")
     classes = known.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = written(classes, "jaccard-classes")
-    hits = written(_collisions(_key_rows(docs, text_col, n, bands), few), "jaccard-hits")
+    hits = written(_collisions(_key_rows(docs, text_col, n, bands, few), few), "jaccard-hits")
     pairs = written(hits.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
-    links, labels = _links(_close(pairs, classes, bands), classes, docs, id_col, text_col, n, bands)
+    close = _close(pairs, classes, bands)
+    links, labels = _links(close, _texts(close, classes, docs, id_col, text_col, n), n, bands, star)
 
     # Long runs: compare what the stars have left apart.
-    member = hits.filter("key IS NOT NULL").select("key", F.col("a").alias("cls"))
-    member = member.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
+    whole = F.col("key").bitwiseAND(F.lit(~SHORT)).alias("key")
+    member = hits.filter("key IS NOT NULL").groupBy(whole, F.col("a").alias("cls")).agg(F.max(F.col("key").bitwiseAND(F.lit(SHORT))).alias("short"))
+    member = member.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "short", F.coalesce("label", "cls").alias("label"))
     member = written(member, "jaccard-members")
     split = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m")
-    apart = _late_pairs(written(member.join(split, "key"), "jaccard-apart"), classes, bands, chunk).distinct()
+    band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS + 1) - 1))
+    rank = F.row_number().over(Window.partitionBy("cls", band).orderBy(F.col("m").desc(), "key"))
+    member = member.join(split, "key").withColumn("rank", rank).filter((F.col("rank") > EXTRA) | (F.col("short") != 0))
+    member = written(member.select("key", "cls", "label", "m"), "jaccard-apart")
+    apart = _late_pairs(member, classes, bands, chunk).distinct()
     apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "jaccard-late-pairs")
     if apart.limit(1).count():
-        late, _ = _links(_close(apart, classes, bands), classes, docs, id_col, text_col, n, bands)
+        close = _close(apart, classes, bands)
+        late, _ = _links(close, _texts(close, classes, docs, id_col, text_col, n), n, bands, star)
         if late.limit(1).count():
             labels = components(links.union(late))
 

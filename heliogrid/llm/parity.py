@@ -16,6 +16,13 @@ similar sets is missed.
 
 Blocks are kept at full width: a block's sketch is the XOR of its tokens' 64-bit hashes.
 
+A set gives out EXTRA more non-empty blocks than that, so that two similar sets, unless both
+run out, have EXTRA + 1 keys in common in one band.  A key that very many sets share, as a
+passage does that stands in many documents, can then be passed over: of the frequent keys
+that a set has in a band it may forget the EXTRA most frequent, as the rarest of EXTRA + 1
+common ones is among these for neither set.  A key says in its lowest bits which band it is
+of (BAND_BITS) and whether its set ran out (SHORT), in which case it may forget none.
+
 How many blocks a set is cut into depends on its size band alone.  Bands grow by less
 than den/num, so sets in one band or in neighbouring ones are compared: each set gives
 out keys for its own band, and for the next one if a partner there is possible.
@@ -28,6 +35,10 @@ import numpy as np
 from .textblocks import U64, mix
 
 SKETCH_WORDS = 16  # of 64 bits
+EXTRA = 8
+SHORT = 1
+BAND_BITS = 7
+_LOW = U64((1 << BAND_BITS + 1) - 1)
 
 
 class Bands:
@@ -39,7 +50,7 @@ class Bands:
         while edges[-1] < largest:
             edges.append(max(edges[-1] + 1, int(edges[-1] * growth)))
         self.edges = np.array(edges, np.int64)  # band i holds the sizes edges[i] <= n < edges[i + 1]
-        self.blocks = ((2 * (self.edges[1:] - 1) * (den - num) // (den + num) + 1) * slack).astype(np.int64) + 2
+        self.blocks = ((2 * (self.edges[1:] - 1) * (den - num) // (den + num) + 1 + EXTRA) * slack).astype(np.int64) + 2
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, n, "right") - 1
@@ -101,13 +112,14 @@ def keys(h: np.ndarray, doc: np.ndarray, n: np.ndarray, bands: Bands) -> tuple[n
         owner = np.repeat(np.arange(len(sets)), blocks)
         rank = np.cumsum(filled)
         rank -= np.concatenate([[0], rank])[start][owner]
-        give = filled & (rank <= most[owner] + 1)
+        give = filled & (rank <= most[owner] + 1 + EXTRA)
         salt = mix((band[owner[give]] * (1 << 40) + np.flatnonzero(give) - start[owner[give]]).astype(U64))
-        out_key.append(mix(parity[give] ^ salt))
+        short = np.add.reduceat(filled.astype(np.int64), start) < most + 1 + EXTRA
+        low = (band.astype(U64) << U64(1)) & _LOW | short.astype(U64)
+        out_key.append(mix(parity[give] ^ salt) & ~_LOW | low[owner[give]])
         out_set.append(sets[owner[give]])
-        short = np.add.reduceat(filled.astype(np.int64), start) < most + 1
         alone = short[at]
-        out_key.append(mix(h[token[alone]] ^ mix((band[at[alone]] + (1 << 62)).astype(U64))))
+        out_key.append(mix(h[token[alone]] ^ mix((band[at[alone]] + (1 << 62)).astype(U64))) & ~_LOW | low[at[alone]])
         out_set.append(sets[at[alone]])
     if not out_key:
         return np.zeros(0, U64), np.zeros(0, np.int64)

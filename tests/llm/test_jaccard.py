@@ -4,7 +4,7 @@ import numpy as np
 
 from heliogrid.llm import jaccard
 from heliogrid.llm.components import components
-from heliogrid.llm.parity import Bands, keys, sketches
+from heliogrid.llm.parity import EXTRA, SHORT, Bands, keys, sketches
 
 SCHEMA = "doc_id long, text string, lang string, key long, cls string, label string"
 
@@ -62,8 +62,8 @@ def corpus():
 def test_components_match_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame([(d, t, "en", 1, "x", "y") for d, t in rows], SCHEMA).repartition(3)
-    for few, chunk in ((3, 2048), (2, 5)):
-        out = jaccard.jaccard_components(df, few=few, chunk=chunk)
+    for few, chunk, star in ((3, 2048, 64), (2, 5, 2)):
+        out = jaccard.jaccard_components(df, few=few, chunk=chunk, star=star)
         got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in out.collect())
         assert got == brute(rows)
 
@@ -75,11 +75,23 @@ def test_repeated_null_and_empty(spark):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_and_structured_words(spark):
+    base = [f"w{k}" for k in range(60)]
+    one = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    rows = [(k % 3 if k % 2 else None, " ".join([*base[: 20 + k], f"x{k}"])) for k in range(30)]
+    rows += [(70, f"{one} b c d e"), (71, one.translate({97: 98, 98: 97}) + " b c d e"), (7, "word " * 300_000), (8, "Word " * 300_001)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, few=2, chunk=5, star=3).collect()), key=str)
+    want = brute([(d if d is not None else 1 << 40, t) for d, t in rows])
+    unnamed = lambda x: None if x == 1 << 40 else x
+    assert got == sorted(((unnamed(d), n, unnamed(c)) for d, n, c in want), key=str)
+
+
 def test_no_similar_pair_lacks_a_key():
     rng = np.random.default_rng(2)
     bands = Bands(growth=1.5)
     for _ in range(300):
-        n = int(rng.integers(4, 120))
+        n = int(rng.integers(4, 300))
         a = rng.integers(0, 2**63, n, dtype=np.uint64)
         lost = int(rng.integers(0, n * 2 // 9 + 1))
         b = np.concatenate([a[lost:], rng.integers(0, 2**63, int(rng.integers(0, lost + 1)), dtype=np.uint64)])
@@ -88,7 +100,9 @@ def test_no_similar_pair_lacks_a_key():
             continue
         doc = np.repeat([0, 1], [n, len(b)])
         k, owner = keys(np.concatenate([a, b]), doc, np.array([n, len(b)]), bands)
-        assert len(set(k[owner == 0].tolist()) & set(k[owner == 1].tolist())) >= 1
+        short = [bool((k[owner == i] & np.uint64(SHORT)).any()) for i in (0, 1)]
+        common_keys = set((k[owner == 0] >> np.uint64(1)).tolist()) & set((k[owner == 1] >> np.uint64(1)).tolist())
+        assert len(common_keys) >= (1 if all(short) else EXTRA + 1)
         s = sketches(np.concatenate([a, b]), doc, 2)
         assert int(np.bitwise_count(s[0] ^ s[1]).sum()) <= lost + len(b) - common
 
