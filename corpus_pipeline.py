@@ -33,14 +33,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id.
+    """One document of each group of near-duplicates: that of the smallest id, then text hash.
 
-    Rows that share an id are told apart by their text; equal rows become one.
+    Rows are told apart by id and text, so rows that share an id are judged one by one; a null
+    id comes last.  Rows equal in both become one.
     """
     bounded_batches(spark)
-    found = jaccard.jaccard_components(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    stay = docs.join(written(first, "pipeline-first"), docs.doc_id.eqNullSafe(F.col("first_id")), "left_semi")
+    hidden = "__row"
+    while hidden in docs.columns:
+        hidden += "_"
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"))
+    keyed = docs.withColumn(hidden, row)
+    found = jaccard.jaccard_components(keyed.select(hidden, "text"), id_col=hidden)
+    first = found.filter(F.col(hidden) == F.col("component_id")).select(hidden).distinct()
+    stay = keyed.join(written(first, "pipeline-first"), hidden, "left_semi")
     return stay.dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
