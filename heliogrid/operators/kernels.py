@@ -30,10 +30,13 @@ def shifted(a: np.ndarray, dr: int, dc: int) -> np.ndarray:
 def sky_shadow(dsm, canopy, trunk, bush, azimuth: float, altitude: float, amax: float, scale: float = 1.0):
     """Visibility of one sky direction past buildings, vegetation, and vegetation behind buildings.
 
-    1 is visible; the third can be 2.
+    1 is visible; the third can be 2.  A bush does not hide the sky from its own pixel; a
+    taller one on the ray does.
     """
     z = dsm
-    f, veg, behind = z.copy(), (bush > 1).astype(float), np.zeros_like(z)
+    bushy = bush > 1
+    f, veg, behind = z.copy(), bushy.astype(float), np.zeros_like(z)
+    tallest = np.zeros_like(z)
     for step, dr, dc, dz in ray_schedule(*z.shape, amax, azimuth, altitude, scale):
         low, top, bottom = shifted(z, dr, dc) - dz, shifted(canopy, dr, dc) - dz, shifted(trunk, dr, dc) - dz
         f = np.maximum(f, low)
@@ -47,22 +50,29 @@ def sky_shadow(dsm, canopy, trunk, bush, azimuth: float, altitude: float, amax:
             veg[gap < dz] = 1
             veg = veg * (trunk > z)
             behind = np.zeros_like(z)
+        if bushy.any() and ((top > z) & bushy).any():
+            tallest = np.maximum(tallest, shifted(bush, dr, dc) - dz) * bushy
     shade = (f > z).astype(float)
     behind = (behind > 0) - veg
-    bushy = bush > 1
-    veg = np.where(bushy, 1.0, veg)
+    if bushy.any():
+        veg = np.maximum(veg - bushy + (tallest > bush), 0)
     return 1 - shade, 1 - (veg > 0), 1 - behind
 
 
-def sky_view(dsm, canopy, trunk, bush, amax: float, option: int = 2, scale: float = 1.0, chosen=None) -> dict[str, np.ndarray]:
-    """Sky-view factors and visibility cubes.  ``chosen`` limits the patches, for partial sums that add up."""
+def sky_view(dsm, canopy, trunk, bush, amax: float, option: int = 2, scale: float = 1.0, chosen=None, coded: bool = False) -> dict[str, np.ndarray]:
+    """Sky-view factors and visibility cubes.  ``chosen`` limits the patches, for partial sums that add up.
+
+    If coded, one cube holds all three visibilities, a byte a patch: first + 2 * second + 4 * third.
+    """
     azimuths, weights = sky_azimuths(option), patch_weights(option)
     rows = patches(option)
     names = ("svf", "svfveg", "svfaveg")
     quarters = {"": None, "E": (0, 180), "S": (90, 270), "W": (180, 360), "N": (270, 90)}
     out = {n + q: np.zeros_like(dsm) for n in names for q in quarters}
     cubes = {n: [] for n in ("shmat", "vegshmat", "vbshvegshmat")}
-    for k in range(len(rows)) if chosen is None else chosen:
+    chosen = range(len(rows)) if chosen is None else chosen
+    code = np.empty((*dsm.shape, len(chosen)), np.uint8) if coded else None
+    for place, k in enumerate(chosen):
         azi = azimuths[k]
         visible = sky_shadow(dsm, canopy, trunk, bush, azi, rows[k][2], amax, scale)
         for name, v in zip(names, visible):
@@ -71,8 +81,13 @@ def sky_view(dsm, canopy, trunk, bush, amax: float, option: int = 2, scale: floa
                     out[name] += weights[k][0] * v
                 elif (span[0] <= azi < span[1]) if span[0] < span[1] else (azi >= span[0] or azi < span[1]):
                     out[name + q] += weights[k][1] * v
+        if coded:
+            code[..., place] = visible[0] + 2 * visible[1] + 4 * visible[2]
+            continue
         for cube, v in zip(cubes.values(), visible):
             cube.append(v.astype(np.uint8))
+    if coded:
+        return out | {"code": code}
     return out | {n: np.stack(c, -1) if c else np.zeros((*dsm.shape, 0), np.uint8) for n, c in cubes.items()}
 
 
@@ -129,7 +144,7 @@ def wall_shadow(dsm, walls, aspect, azimuth: float, altitude: float, scale: floa
     else:
         away = wall & ~((aspect >= lo) & (aspect < hi))
     face_shade = away.astype(float)
-    face_sun = (wall & ~away).astype(float) - (wall & (shade > 0) & ~away) * 0
+    face_sun = (wall & ~away).astype(float)
     volume = f - z
     sun = np.clip(walls - volume, 0, None)
     sun[away] = 0

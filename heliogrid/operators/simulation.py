@@ -9,6 +9,7 @@ one task, tiles run in parallel.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,10 +24,21 @@ from . import kernels, rays
 from .columns import with_columns
 from .scene import LAND_COVER
 from .tiles import to_array, vegetation
+from .timeline import daily_maximum_altitude
 
 OUTPUTS = ("utci", "tmrt", "kdown", "kup", "ldown", "lup", "shadow", "wbgt", "ta", "wind")
 ALBEDO_WALL, EMISSIVITY_WALL = 0.2, 0.9
 _DIRS = "ESWN"
+#: Pixels whose patches are summed at once, and wall patches that are compared at once.
+_BLOCK, _ENTRIES = 8192, 2_000_000
+
+# What a patch's code (see kernels.sky_view) means.
+_SUN, _VEG, _BEHIND = np.arange(12) & 1, np.arange(12) >> 1 & 1, np.arange(12) >> 2
+_DIFFUSE = _SUN - (1 - _VEG) * (1 - kernels.TRANSMISSIVITY)
+_IS_SKY = (_SUN == 1) & (_VEG == 1)
+_IS_VEG = (_VEG == 0) | (_BEHIND == 0)
+_IS_WALL = (_SUN == 0) & (_BEHIND == 1)
+_IS_BLOCKED = (_SUN == 0) | (_VEG == 0) | (_BEHIND == 0)
 
 
 @dataclass
@@ -70,14 +82,22 @@ class Geometry:
         rise[1:-1, 1:-1] = np.maximum.reduce([dsm[:-2, 1:-1], dsm[2:, 1:-1], dsm[1:-1, :-2], dsm[1:-1, 2:]]) - dsm[1:-1, 1:-1]
         self.walls = np.where(rise < 3, 0.0, rise)
         self.aspect = np.radians(kernels.goodwin_aspect(self.walls, dsm, scale))
-        self.sky = kernels.finish_sky_view(kernels.sky_view(dsm, self.canopy, self.trunk, self.bush, self.amax, option, scale), self.trunk)
+        sky = kernels.sky_view(dsm, self.canopy, self.trunk, self.bush, self.amax, option, scale, coded=True)
+        self.code = sky.pop("code").reshape(dsm.size, -1)
+        self.sky = kernels.finish_sky_view(sky, self.trunk)
         self.patches = rays.patches(option)
         self.steradian = np.array(rays.steradians(option))
-        sh, veg = self.sky["shmat"].astype(float), self.sky["vegshmat"].astype(float)
-        self.diffuse_visible = sh - (1 - veg) * (1 - kernels.TRANSMISSIVITY)
+        altitudes = np.radians([p[2] for p in self.patches])
+        self.side, self.down = self.steradian * np.cos(altitudes), self.steradian * np.sin(altitudes)
         svf, svfveg = self.sky["svf"], self.sky["svfveg"]
         self.svfbuveg = svf - (1 - svfveg) * (1 - kernels.TRANSMISSIVITY)
         self.asvf = np.arccos(np.sqrt(np.clip(svf, 0, 1)))
+        self.edge = np.tan(self.asvf).ravel()
+        self.wall_px, self.wall_end = self._wall_pixels()
+        fixed = np.stack([self.side, self.down], 1)
+        self.veg_side, self.veg_down = self.patch_sums(_IS_VEG, fixed)
+        self.blocked_side, self.blocked_down = self.patch_sums(_IS_BLOCKED, fixed)
+        self.wall_side, self.wall_down = self.patch_sums(_IS_WALL, fixed)
         self.svfalfa = np.arcsin(np.sqrt(np.clip(1 - np.maximum(svf + svfveg - 1, 0), 0, 1)))
         props = {code: row for row in LAND_COVER for code in [row[1]]}
         shape = dsm.shape
@@ -91,6 +111,44 @@ class Geometry:
                 self.albedo[at], self.emissivity[at], self.tgk[at], self.tstart[at], self.tmax[at] = alb, emis, k, start, latest
         self.landcover = lc is not None
 
+    def patch_sums(self, meaning: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+        """Per pixel, the sums over patches of what a code means, times each column of weights."""
+        out = np.empty((len(self.code), weights.shape[1]), np.float32)
+        meaning, weights = meaning.astype(np.float32), weights.astype(np.float32)
+        for lo in range(0, len(out), _BLOCK):
+            np.matmul(meaning[self.code[lo : lo + _BLOCK]], weights, out=out[lo : lo + _BLOCK])
+        return [x.astype(float).reshape(self.dsm.shape) for x in out.T]
+
+    def _wall_pixels(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pixels that see a wall, patch by patch, and where each patch's end."""
+        at = [np.flatnonzero(_IS_WALL[self.code[:, k]]).astype(np.int32) for k in range(self.code.shape[1])]
+        return np.concatenate(at), np.cumsum([len(x) for x in at])
+
+    def lit_walls(self, met: dict) -> dict[str, np.ndarray]:
+        """Per pixel, the weights of sunlit and of shaded wall patches, on the side and from above.
+
+        A wall's edge is at arctan(edge + c) for a patch's c, so it is compared by its tangent.
+        """
+        alt = np.radians([p[2] for p in self.patches])
+        turn = np.cos(np.abs(np.radians([p[3] - met["azimuth"] for p in self.patches])))
+        limit = np.tan(alt) - np.minimum(2 * turn * math.tan(math.radians(met["altitude"])), 0)
+        lit, even = np.zeros((2, self.dsm.size)), np.zeros((2, self.dsm.size))
+        lo = 0
+        starts = np.append(0, self.wall_end[:-1])
+        while lo < len(limit):  # patches together, up to a bounded number of entries
+            most = max(lo + 1, int(np.searchsorted(self.wall_end, starts[lo] + _ENTRIES, "right")))
+            px = self.wall_px[starts[lo] : self.wall_end[most - 1]]
+            k = np.repeat(np.arange(lo, most), self.wall_end[lo:most] - starts[lo:most])
+            edge, at = self.edge[px], limit[k]
+            for sums, hit in ((lit, np.flatnonzero(edge < at)), (even, np.flatnonzero(edge == at))):
+                for total, weight in zip(sums, (self.side, self.down)):
+                    if len(hit):
+                        total += np.bincount(px[hit], weight[k[hit]], self.dsm.size)
+            lo = most
+        lit, even = lit.reshape(2, *self.dsm.shape), even.reshape(2, *self.dsm.shape)
+        # A wall just at its edge is neither.
+        return {"side_lit": lit[0], "down_lit": lit[1], "side_dark": self.wall_side - lit[0] - even[0], "down_dark": self.wall_down - lit[1] - even[1]}
+
 
 def _ground_view(g: Geometry, shadow, t_ground, t_wall, ta, sun_wall):
     """Ground-view albedo and emission, in all and in the four directions."""
@@ -131,6 +189,9 @@ def step(g: Geometry, met: dict, state: State) -> dict[str, np.ndarray]:
     svf, svfveg = g.sky["svf"], g.sky["svfveg"]
     shape = g.dsm.shape
     esky = met["esky"]
+    if met["dectime"] % 1 == 0:  # a new day: nothing is known of the sky
+        state.clearness = 1.0
+    walls = g.lit_walls(met) if altitude > 0 else None
     if altitude > 0:
         rad_i, rad_d, rad_g = met["rad_i"], met["rad_d"], met["rad_g"]
         state.clearness = min(met["ci"], 1.0)
@@ -146,12 +207,14 @@ def step(g: Geometry, met: dict, state: State) -> dict[str, np.ndarray]:
         zen = math.radians(90 - altitude)
         f_sh = _wedge(zen, g.svfalfa)
         lv = np.array(met["luminance"])
-        d_rad = rad_d * (g.diffuse_visible @ lv)
+        chi = lv * rad_d / (lv * g.down).sum()
+        through, sky_side = g.patch_sums(_DIFFUSE, np.stack([lv, chi * g.side], 1))
+        d_rad = rad_d * through
         bounce = ALBEDO_WALL * (1 - g.svfbuveg) * (rad_g * (1 - f_sh) + rad_d * f_sh)
         sin_a = math.sin(math.radians(altitude))
         kdown = rad_i * shadow * sin_a + d_rad + bounce
         kup = {d: view["alb" + d] * rad_i * sin_a + (rad_d * g.svfbuveg + bounce) * view["albno" + d] for d in ("", *_DIRS)}
-        kside = _side_shortwave(g, met, shadow, lv)
+        kside = _side_shortwave(g, met, shadow, sky_side, walls)
         k_sides = 0.5 * sum(kup[d] for d in _DIRS)
     else:
         state.night()
@@ -162,7 +225,7 @@ def step(g: Geometry, met: dict, state: State) -> dict[str, np.ndarray]:
         fluxes = {"lup" + d: base for d in ("", *_DIRS)}
     if state.clearness < 0.95:
         esky = state.clearness * esky + (1 - state.clearness)
-    ldown, lside = _longwave(g, met, esky, t_wall, fluxes["lup"])
+    ldown, lside = _longwave(g, met, esky, t_wall, fluxes["lup"], walls)
     l_sides = 0.5 * sum(fluxes["lup" + d] for d in _DIRS)
     absorbed = ABS_K * (kside * F_CYL + (kdown + kup[""]) * F_UP + k_sides * F_SIDE) + ABS_L * ((ldown + fluxes["lup"]) * F_UP + lside * F_CYL + l_sides * F_SIDE)
     tmrt = np.sqrt(np.sqrt(absorbed / (ABS_L * SIGMA))) - 273.2
@@ -202,58 +265,31 @@ def _wedge(zen: float, alfa: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(out), out, 0.5)
 
 
-def _lit(g: Geometry, met: dict, altitude: float, azimuth: float):
-    edge = np.degrees(np.arctan(np.tan(g.asvf) + min(2 * math.cos(abs(math.radians(azimuth - met["azimuth"]))) * math.tan(math.radians(met["altitude"])), 0)))
-    return edge < altitude, edge > altitude
-
-
-def _side_shortwave(g: Geometry, met: dict, shadow, lv) -> np.ndarray:
+def _side_shortwave(g: Geometry, met: dict, shadow, sky_side, walls: dict[str, np.ndarray]) -> np.ndarray:
     """Short-wave on the side of a cylinder: sun, anisotropic sky, sunlit and shaded walls, vegetation."""
-    alt = math.radians(met["altitude"])
-    out = shadow * met["rad_i"] * math.cos(alt)
-    sun_wall = (ALBEDO_WALL * met["rad_i"] * math.cos(alt) + 0.5 * met["rad_d"]) / math.pi
+    cos_alt = math.cos(math.radians(met["altitude"]))
+    sun_wall = (ALBEDO_WALL * met["rad_i"] * cos_alt + 0.5 * met["rad_d"]) / math.pi
     shade_wall = ALBEDO_WALL * met["rad_d"] * 0.5 / math.pi
-    cosines = np.array([math.cos(math.radians(p[2])) for p in g.patches])
-    chi = lv * met["rad_d"] / (lv * g.steradian * np.sin(np.radians([p[2] for p in g.patches]))).sum()
-    out = out + g.diffuse_visible @ (chi * cosines * g.steradian)
-    sh, veg, behind = (g.sky[n].astype(float) for n in ("shmat", "vegshmat", "vbshvegshmat"))
-    out = out + shade_wall * ((veg == 0) | (behind == 0)) @ (cosines * g.steradian)
-    for k, (_, _, altitude, azimuth) in enumerate(g.patches):
-        wall = (1 - sh[..., k]) * behind[..., k] == 1
-        if wall.any():
-            lit, dark = _lit(g, met, altitude, azimuth)
-            out = out + wall * (sun_wall * lit + shade_wall * dark) * g.steradian[k] * cosines[k]
-    return out
+    return shadow * met["rad_i"] * cos_alt + sky_side + shade_wall * (g.veg_side + walls["side_dark"]) + sun_wall * walls["side_lit"]
 
 
-def _longwave(g: Geometry, met: dict, esky: float, t_wall: float, lup) -> tuple[np.ndarray, np.ndarray]:
+def _longwave(g: Geometry, met: dict, esky: float, t_wall: float, lup, walls: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
     """Long-wave from above and on the side: sky, vegetation, walls, and what those reflect of the first pass."""
-    alt = np.array([p[2] for p in g.patches])
-    zen = np.radians(90 - alt)
+    zen = np.radians(90 - np.array([p[2] for p in g.patches]))
     emis = 1 - (1 - esky) * np.exp(0.308 * (1.7 - 1 / np.cos(zen)))
     air = SIGMA * (met["ta"] + 273.15) ** 4
     sky = emis * air / math.pi
-    side, down = g.steradian * np.cos(np.radians(alt)), g.steradian * np.sin(np.radians(alt))
-    sh, veg, behind = (g.sky[n] for n in ("shmat", "vegshmat", "vbshvegshmat"))
-    is_sky = ((sh == 1) & (veg == 1)).astype(float)
-    l_side, l_down = is_sky @ (sky * side), is_sky @ (sky * down)
-    from_sky = l_down.copy()
-    is_veg = ((veg == 0) | (behind == 0)).astype(float)
+    l_side, from_sky = g.patch_sums(_IS_SKY, np.stack([sky * g.side, sky * g.down], 1))
     leaf = EMISSIVITY_WALL * air / math.pi
-    l_side, l_down = l_side + leaf * (is_veg @ side), l_down + leaf * (is_veg @ down)
     warm = EMISSIVITY_WALL * SIGMA * (met["ta"] + t_wall + 273.15) ** 4 / math.pi
-    for k, (_, _, altitude, azimuth) in enumerate(g.patches):
-        wall = (1.0 - sh[..., k]) * behind[..., k] == 1
-        if wall.any():
-            if met["altitude"] > 0:
-                lit, dark = _lit(g, met, altitude, azimuth)
-                flux = wall * (warm * lit + leaf * dark)
-            else:
-                flux = wall * leaf
-            l_side, l_down = l_side + flux * side[k], l_down + flux * down[k]
-    blocked = ((sh == 0) | (veg == 0) | (behind == 0)).astype(float)
+    l_side, l_down = l_side + leaf * g.veg_side, from_sky + leaf * g.veg_down
+    if walls is None:
+        l_side, l_down = l_side + leaf * g.wall_side, l_down + leaf * g.wall_down
+    else:
+        l_side = l_side + warm * walls["side_lit"] + leaf * walls["side_dark"]
+        l_down = l_down + warm * walls["down_lit"] + leaf * walls["down_dark"]
     reflected = (from_sky + lup) * (1 - EMISSIVITY_WALL) * 0.5 / math.pi
-    return l_down + reflected * (blocked @ down), l_side + reflected * (blocked @ side)
+    return l_down + reflected * g.blocked_down, l_side + reflected * g.blocked_side
 
 
 def weather(met: DataFrame, lat: float, lon: float, utc_offset: float = 0.0, option: int = 2) -> DataFrame:
@@ -275,7 +311,15 @@ def weather(met: DataFrame, lat: float, lon: float, utc_offset: float = 0.0, opt
     m = with_columns(m, solar.position_columns("days", "lat", "lon"))
     m = m.withColumn("zenith", F.when((F.col("sun_zenith") > 89) & (F.col("sun_zenith") <= 90), 89.0).otherwise(F.col("sun_zenith")))
     m = m.withColumns({"altitude": 90 - F.col("zenith"), "azimuth": F.col("sun_azimuth"), "zen": F.radians("zenith")})
-    m = m.withColumn("altmax", F.max("altitude").over(Window.partitionBy("iy", "id")))
+    # The day's highest sun, searched in steps of 15 minutes; it is renewed at midnight and in the first row.
+    quarters = m.select("iy", "id", "lat", "lon").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(95))))
+    quarters = quarters.withColumn("days", j2000 + F.col("id") + F.col("k") / 96 - 1 - 0.5 - utc_offset / 24)
+    quarters = with_columns(quarters, solar.position_columns("days", "lat", "lon"))
+    quarters = quarters.select("iy", "id", (90 - F.col("sun_zenith")).alias("alt"), F.to_timestamp(F.format_string("2001-01-01 %02d:%02d:00", F.floor(F.col("k") / 4), F.col("k") % 4 * 15)).alias("ts"))
+    m = m.join(F.broadcast(daily_maximum_altitude(quarters, "alt", ["iy", "id"], "ts")), ["iy", "id"], "left")  # a row a day
+    renewed = (F.row_number().over(w) == 1) | (F.col("dectime") % 1 == 0)
+    m = m.withColumn("altmax_", F.when(renewed, F.greatest("max_altitude", F.lit(0.0))))
+    m = m.withColumn("altmax", F.last("altmax_", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     m = with_columns(m, solar.clearness_columns("zen", "doy", "ta", "(rh / 100e0)", "rad_g", "lat", "press"))
     m = with_columns(m, solar.diffuse_columns("rad_g", "altitude", "kt", "ta", "rh"))
     m = with_columns(m, [("esky", solar.sky_emissivity("ta", "rh")), ("sunrise", solar.sunrise("doy", "lat"))])
@@ -283,19 +327,31 @@ def weather(met: DataFrame, lat: float, lon: float, utc_offset: float = 0.0, opt
     m = with_columns(m, clear)
     m = m.withColumn("ci_tg", F.least(F.coalesce(F.try_divide("rad_g", F.col("r0_i") * F.sin(F.radians("altitude")) + F.col("r0_d")) + (1 - F.col("ci_corr")), F.lit(0.0)), F.lit(1.0)))
     m = with_columns(m, solar.perez_columns("least(zenith, 90e0)", "rad_d", "rad_i", "doy"))
-    sky = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(z).alias("z")) for _, _, a, z in rays.patches(option)])
-    lv = F.transform(sky, lambda p: F.expr("0e0") + _luminance(p))
-    m = m.withColumn("lv_", F.when(F.col("altitude") > 0, lv)).withColumn("s_", F.aggregate("lv_", F.lit(0.0), lambda t, x: t + x))
+    m = patch_luminances(m, option).withColumn("lv_", F.when(F.col("altitude") > 0, F.transform("lv", lambda x: x["l"])))
+    m = m.withColumn("s_", F.aggregate("lv_", F.lit(0.0), lambda t, x: t + x))
     m = m.withColumn("luminance", F.transform("lv_", lambda x: x / F.col("s_")))
     m = m.withColumn("psi", F.when((F.col("doy") > 97) & (F.col("doy") < 300), 0.03).otherwise(0.5)).withColumn("step", F.row_number().over(w) - 1)
     keep = ["step", "iy", "doy", "it", "imin", "dectime", "dt", "ta", "rh", "press", "va", "wd", "uhi", "altitude", "azimuth", "altmax", "rad_g", "rad_i", "rad_d", "ci", "ci_tg", "esky", "sunrise", "psi", "luminance"]
     return m.select(*keep)
 
 
-def _luminance(p):
-    cos_g = F.sin(F.radians(p["a"])) * F.sin("pz_alt") + F.cos("pz_alt") * F.cos(F.radians(p["a"])) * F.cos(F.abs(F.radians(p["z"]) - F.radians("azimuth")))
-    g = F.acos(F.least(F.greatest(cos_g, F.lit(-1.0)), F.lit(1.0)))
-    return (1 + F.col("pz_a") * F.exp(F.col("pz_b") / F.cos(F.radians(90 - p["a"])))) * (1 + F.col("pz_c") * F.exp(F.col("pz_d") * g) + F.col("pz_e") * cos_g * cos_g)
+def patch_luminances(df: DataFrame, option: int = 2) -> DataFrame:
+    """Adds lv: by patch, its azimuth z and relative luminance l under the sky of ``solar.perez_columns`` and the azimuth.
+
+    What depends on the patch alone is a constant, so a patch costs a cosine, an arc cosine and two exponentials.
+    """
+    rad = math.radians
+    fixed = [(z, rad(z), math.sin(rad(a)), math.cos(rad(a)), 1 / math.cos(rad(90 - a))) for _, _, a, z in rays.patches(option)]
+    sky = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("z", "rz", "sin", "cos", "path"), p)]) for p in fixed])
+    df = df.withColumns({"sin_": F.sin("pz_alt"), "cos_": F.cos("pz_alt"), "azi_": F.radians("azimuth")})
+    toward = lambda p: p["sin"] * F.col("sin_") + F.col("cos_") * p["cos"] * F.cos(F.abs(p["rz"] - F.col("azi_")))
+    df = df.withColumn("lv", F.transform(sky, lambda p: F.struct(p["z"].alias("z"), p["path"].alias("path"), toward(p).alias("c"))))
+
+    def luminance(p):
+        g = F.acos(F.least(F.greatest(p["c"], F.lit(-1.0)), F.lit(1.0)))
+        return (1 + F.col("pz_a") * F.exp(F.col("pz_b") * p["path"])) * (1 + F.col("pz_c") * F.exp(F.col("pz_d") * g) + F.col("pz_e") * p["c"] * p["c"])
+
+    return df.withColumn("lv", F.transform("lv", lambda p: F.struct(p["z"].alias("z"), luminance(p).alias("l")))).drop("sin_", "cos_", "azi_")
 
 
 def simulate(scene: DataFrame, timeline: DataFrame, outputs: tuple[str, ...] = ("utci",), key: str = "tile", landcover: bool = False, scale: float = 1.0, option: int = 2, coefficients: DataFrame | None = None) -> DataFrame:
@@ -312,15 +368,17 @@ def simulate(scene: DataFrame, timeline: DataFrame, outputs: tuple[str, ...] = (
     if unknown:
         raise ValueError(f"no such outputs: {sorted(unknown)}")
 
-    def run(group: tuple, table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+    def run(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
         g = Geometry(*(to_array(table, n) for n in ("dsm", "dem", "tree")), to_array(table, "lc") if landcover else None, option, scale, {d: to_array(table, f"coef{d}", 1.0) for d in bins})
-        row, col = table["row"].to_numpy(), table["col"].to_numpy()
-        state, parts = State(), []
-        for met in shared.value:
+        at = table.select([key, "row", "col"]).to_batches()
+        del table
+        state = State()
+        for met in shared.value:  # a step is given out before the next is computed
             made = step(g, {k: (0.0 if v is None else v) for k, v in met.items()} | {"wanted": outputs}, state)
-            parts.append(pa.table({key: table[key], "step": pa.array(np.full(len(row), met["step"], np.int32)), "row": table["row"], "col": table["col"], **{n: pa.array(made[n][row, col]) for n in outputs}}))
-        return pa.concat_tables(parts)
+            for b in at:
+                row, col = b.column(1).to_numpy(), b.column(2).to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(b), met["step"], np.int32)), b.column(1), b.column(2), *(pa.array(made[n][row, col]) for n in outputs)], names=[key, "step", "row", "col", *outputs])
 
     kind = scene.schema[key].dataType.simpleString()
     inputs = [F.col(c).cast("double").alias(c) for c in ("dsm", "dem", "tree", *(["lc"] if landcover else []))]

@@ -30,9 +30,15 @@ def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "part", SCENE)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, for work that costs much a row; a file of few row groups is a scan of few tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weather at pixels and times, from lineitem: ta, rh, va, tmrt, press."""
-    return _view(spark, sf_dir, "lineitem", FACTS)
+    return spread(_view(spark, sf_dir, "lineitem", FACTS))
 
 
 HOURLY = """(SELECT date_trunc('hour', ts) AS hour, CAST(user_id % 8 AS INTEGER) AS cell, avg(value) AS v, max(value) AS vmax, count(*) AS n
