@@ -94,6 +94,11 @@ def night_profile(df: DataFrame, keys: list[str], ts: str, sw: str, amplitude: s
     return df.withColumn("night", night).drop("is_", "run_")
 
 
+def window(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
+    """The rows from start to end, both included; a null time is in no window."""
+    return df.filter(F.col(ts).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+
+
 def first_step_length(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Adds step: the second row's value less the first's, for every row of a key."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

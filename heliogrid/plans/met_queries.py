@@ -94,12 +94,20 @@ def uhi_night_islands(spark, sf_dir):
     return rounded(timeline.night_profile(h, ["cell"], "hour", "sw", "amp").select("cell", "hour", "night"))
 
 
-@query(f"""SELECT a.hour, round(a.v, 6) AS instant, round(b.v / 3600e0, 6) AS accumulated FROM {HOURLY} a JOIN {HOURLY} b ON a.hour = b.hour AND a.cell = 1 AND b.cell = 2
- WHERE a.hour BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-20 23:00:00'""")
+@query(f"""SELECT CAST(floor(a.cell / 2e0) AS INTEGER) AS pair, a.hour, round(a.v, 6) AS instant, round(b.v / 3600e0, 6) AS accumulated
+ FROM {HOURLY} a JOIN {HOURLY} b ON a.hour = b.hour AND a.cell % 2 = 0 AND b.cell = a.cell + 1""")
 def stream_intersection_join(spark, sf_dir):
-    h = hourly(spark, sf_dir).filter(F.col("hour").between(F.lit("2024-01-03 00:00:00").cast("timestamp"), F.lit("2024-01-20 23:00:00").cast("timestamp")))
-    a, b = h.filter("cell = 1").select("hour", F.col("v").alias("instant")), h.filter("cell = 2").select("hour", (F.col("v") / 3600).alias("accumulated"))
-    return rounded(a.join(b, "hour"))
+    """Two streams, of even and of odd cells, joined at equal hours within each pair of neighbours."""
+    h = hourly(spark, sf_dir).withColumn("pair", F.floor(F.col("cell") / 2).cast("int"))
+    instant = h.filter("cell % 2 = 0").select("pair", "hour", F.col("v").alias("instant"))
+    summed = h.filter("cell % 2 = 1").select("pair", "hour", (F.col("v") / 3600).alias("accumulated"))
+    return rounded(instant.join(summed, ["pair", "hour"]))
+
+
+@query(f"SELECT cell, hour, round(v, 6) AS v FROM {HOURLY} WHERE hour BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-20 23:00:00'")
+def time_window_inclusive(spark, sf_dir):
+    """A time window, which is the feature: both of its ends are in it."""
+    return rounded(timeline.window(hourly(spark, sf_dir).select("cell", "hour", "v"), "hour", "2024-01-03 00:00:00", "2024-01-20 23:00:00"))
 
 
 _CELLS = "(SELECT s_suppkey AS cell_id, (s_suppkey * 37 % 360) / 2e0 - 90e0 AS lon, (s_suppkey * 53 % 170) / 2e0 - 42e0 AS lat, CAST(s_suppkey AS DOUBLE) AS value FROM supplier)"

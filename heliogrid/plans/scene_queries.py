@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -190,11 +192,16 @@ def changed_pixels(spark, sf_dir):
     return both.agg(F.count_if(F.col("tree") != F.col("was")).alias("changed"))
 
 
-@query(f"""SELECT t.row, t.col, s.dsm FROM (SELECT CAST(a.range AS INTEGER) AS row, CAST(b.range AS INTEGER) AS col FROM range(0, 25) a, range(0, 30) b) t
- LEFT JOIN {SCENE} s ON s.row = CAST(floor((t.row + 0.5e0) * 1.5e0) AS INTEGER) AND s.col = CAST(floor((t.col + 0.5e0) * 1.5e0) AS INTEGER)""")
+@query(f"""WITH n AS (SELECT CAST(ceil((max(row) + 1) / 1.5e0) AS BIGINT) AS r, CAST(ceil((max(col) + 1) / 1.5e0) AS BIGINT) AS c FROM {SCENE}),
+ t AS (SELECT CAST(row AS INTEGER) AS row, CAST(unnest(range(0, c)) AS INTEGER) AS col FROM (SELECT unnest(range(0, r)) AS row, c FROM n))
+SELECT t.row, t.col, s.dsm FROM t LEFT JOIN {SCENE} s ON s.row = CAST(floor((t.row + 0.5e0) * 1.5e0) AS INTEGER) AND s.col = CAST(floor((t.col + 0.5e0) * 1.5e0) AS INTEGER)""")
 def resample_nearest(spark, sf_dir):
-    target = spark.range(25).select(F.col("id").cast("int").alias("row")).join(F.broadcast(spark.range(30).select(F.col("id").cast("int").alias("col"))), F.lit(True))
-    return grid.resample_nearest(scene_table(spark, sf_dir), [100.0, 1.0, 0.0, 500.0, 0.0, -1.0], target, [100.0, 1.5, 0.0, 500.0, 0.0, -1.5], "dsm").select("row", "col", "dsm")
+    """The whole scene on a grid of 1.5 m."""
+    pixels = scene_table(spark, sf_dir)
+    last = pixels.agg(F.max("row").alias("row"), F.max("col").alias("col")).first()
+    rows, cols = (math.ceil((last[n] + 1) / 1.5) for n in ("row", "col"))
+    target = spark.range(rows).select(F.col("id").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("col"))
+    return grid.resample_nearest(pixels, [100.0, 1.0, 0.0, 500.0, 0.0, -1.0], target, [100.0, 1.5, 0.0, 500.0, 0.0, -1.5], "dsm").select("row", "col", "dsm")
 
 
 @query(f"""SELECT lc AS altitude_class, count(*) AS n, round(min(svf), 6) AS least, round(avg(acos(sqrt(svf))), 6) AS mean_asvf, round(avg(CASE WHEN 1 - greatest(svf + sv - 1, 0) > 0 THEN asin(sqrt(1 - greatest(svf + sv - 1, 0))) ELSE 0 END), 6) AS mean_alfa,
