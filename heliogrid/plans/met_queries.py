@@ -94,14 +94,14 @@ def uhi_night_islands(spark, sf_dir):
     return rounded(timeline.night_profile(h, ["cell"], "hour", "sw", "amp").select("cell", "hour", "night"))
 
 
-@query(f"""SELECT CAST(floor(a.cell / 2e0) AS INTEGER) AS pair, a.hour, round(a.v, 6) AS instant, round(b.v / 3600e0, 6) AS accumulated
+@query(f"""SELECT CAST(floor(a.cell / 2e0) AS INTEGER) AS pair, a.hour, round(a.v, 6) AS instant, round(b.v / 3600e0, 8) AS accumulated
  FROM {HOURLY} a JOIN {HOURLY} b ON a.hour = b.hour AND a.cell % 2 = 0 AND b.cell = a.cell + 1""")
 def stream_intersection_join(spark, sf_dir):
     """Two streams, of even and of odd cells, joined at equal hours within each pair of neighbours."""
     h = hourly(spark, sf_dir).withColumn("pair", F.floor(F.col("cell") / 2).cast("int"))
     instant = h.filter("cell % 2 = 0").select("pair", "hour", F.col("v").alias("instant"))
     summed = h.filter("cell % 2 = 1").select("pair", "hour", (F.col("v") / 3600).alias("accumulated"))
-    return rounded(instant.join(summed, ["pair", "hour"]))
+    return rounded(instant.join(summed, ["pair", "hour"]), accumulated=8)
 
 
 @query(f"SELECT cell, hour, round(v, 6) AS v FROM {HOURLY} WHERE hour BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-20 23:00:00'")
