@@ -327,7 +327,7 @@ def weather(met: DataFrame, lat: float, lon: float, utc_offset: float = 0.0, opt
     m = with_columns(m, clear)
     m = m.withColumn("ci_tg", F.least(F.coalesce(F.try_divide("rad_g", F.col("r0_i") * F.sin(F.radians("altitude")) + F.col("r0_d")) + (1 - F.col("ci_corr")), F.lit(0.0)), F.lit(1.0)))
     m = with_columns(m, solar.perez_columns("least(zenith, 90e0)", "rad_d", "rad_i", "doy"))
-    m = patch_luminances(m, option).withColumn("lv_", F.when(F.col("altitude") > 0, F.transform("lv", lambda x: x["l"])))
+    m = with_columns(m, SUN_TERMS).withColumn("lv_", F.when(F.col("altitude") > 0, F.transform(sky_patches(option), lambda p: patch_luminance(p["path"], toward_sun(p)))))
     m = m.withColumn("s_", F.aggregate("lv_", F.lit(0.0), lambda t, x: t + x))
     m = m.withColumn("luminance", F.transform("lv_", lambda x: x / F.col("s_")))
     m = m.withColumn("psi", F.when((F.col("doy") > 97) & (F.col("doy") < 300), 0.03).otherwise(0.5)).withColumn("step", F.row_number().over(w) - 1)
@@ -335,23 +335,26 @@ def weather(met: DataFrame, lat: float, lon: float, utc_offset: float = 0.0, opt
     return m.select(*keep)
 
 
-def patch_luminances(df: DataFrame, option: int = 2) -> DataFrame:
-    """Adds lv: by patch, its azimuth z and relative luminance l under the sky of ``solar.perez_columns`` and the azimuth.
-
-    What depends on the patch alone is a constant, so a patch costs a cosine, an arc cosine and two exponentials.
-    """
+def sky_patches(option: int = 2):
+    """The patches of a division as an array of constants: azimuth z and the direction (east, north, up), path."""
     rad = math.radians
-    fixed = [(z, rad(z), math.sin(rad(a)), math.cos(rad(a)), 1 / math.cos(rad(90 - a))) for _, _, a, z in rays.patches(option)]
-    sky = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("z", "rz", "sin", "cos", "path"), p)]) for p in fixed])
-    df = df.withColumns({"sin_": F.sin("pz_alt"), "cos_": F.cos("pz_alt"), "azi_": F.radians("azimuth")})
-    toward = lambda p: p["sin"] * F.col("sin_") + F.col("cos_") * p["cos"] * F.cos(F.abs(p["rz"] - F.col("azi_")))
-    df = df.withColumn("lv", F.transform(sky, lambda p: F.struct(p["z"].alias("z"), p["path"].alias("path"), toward(p).alias("c"))))
+    fixed = [(z, math.cos(rad(a)) * math.sin(rad(z)), math.cos(rad(a)) * math.cos(rad(z)), math.sin(rad(a)), 1 / math.cos(rad(90 - a))) for _, _, a, z in rays.patches(option)]
+    return F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("z", "east", "north", "up", "path"), p)]) for p in fixed])
+
+
+#: The sun's direction, from pz_alt and azimuth.
+SUN_TERMS = [("east_", "cos(pz_alt) * sin(radians(azimuth))"), ("north_", "cos(pz_alt) * cos(radians(azimuth))"), ("up_", "sin(pz_alt)")]
+
+
+def toward_sun(p):
+    """The cosine of the angle between a patch of ``sky_patches`` and the sun."""
+    return p["east"] * F.col("east_") + p["north"] * F.col("north_") + p["up"] * F.col("up_")
 
-    def luminance(p):
-        g = F.acos(F.least(F.greatest(p["c"], F.lit(-1.0)), F.lit(1.0)))
-        return (1 + F.col("pz_a") * F.exp(F.col("pz_b") * p["path"])) * (1 + F.col("pz_c") * F.exp(F.col("pz_d") * g) + F.col("pz_e") * p["c"] * p["c"])
 
-    return df.withColumn("lv", F.transform("lv", lambda p: F.struct(p["z"].alias("z"), luminance(p).alias("l")))).drop("sin_", "cos_", "azi_")
+def patch_luminance(path, toward):
+    """Relative luminance of a patch under the sky of ``solar.perez_columns``."""
+    g = F.acos(F.least(F.greatest(toward, F.lit(-1.0)), F.lit(1.0)))
+    return (1 + F.col("pz_a") * F.exp(F.col("pz_b") * path)) * (1 + F.col("pz_c") * F.exp(F.col("pz_d") * g) + F.col("pz_e") * toward * toward)
 
 
 def simulate(scene: DataFrame, timeline: DataFrame, outputs: tuple[str, ...] = ("utci",), key: str = "tile", landcover: bool = False, scale: float = 1.0, option: int = 2, coefficients: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import comfort, humidity, radiation, solar
 from ..functions.expr import column, num
 from ..operators import grid, rays, simulation
 from ..operators.columns import sql_columns, with_columns
-from .fixtures import FACTS, SCENE, facts, rounded, scene, spread, table
+from .fixtures import FACTS, SCENE, facts, rounded, scene, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -119,13 +119,17 @@ _LVS = f"(SELECT o_orderkey, patch_id, altitude, azimuth, pz_clear, pz_bright, {
 @query(f"""SELECT o_orderkey, round(max(pz_clear), 5) AS clearness, round(max(pz_bright), 5) AS brightness, round(max(l) / sum(l), 6) AS peak,
  round(sum(CASE WHEN azimuth >= 0 AND azimuth < 180 THEN l ELSE 0 END) / sum(l), 6) AS east FROM {_LVS} GROUP BY o_orderkey""")
 def perez_luminance(spark, sf_dir):
-    """All-weather sky luminance of each sky (order), folded over the patches of a division, an array of 153 constants."""
-    o = spread(table(spark, sf_dir, "orders").selectExpr("o_orderkey", "5e0 + o_orderkey % 80 AS zen", "CAST(o_custkey % 360 AS DOUBLE) AS azimuth", "20e0 + o_totalprice / 2000e0 AS rad_d", "50e0 + o_custkey % 700 AS rad_i", "CAST(1 + o_orderkey % 365 AS DOUBLE) AS doy"))
-    lv = simulation.patch_luminances(with_columns(o, _STATE), 2)
-    zero = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("all"), F.lit(0.0).alias("east"))
-    add = lambda t, x: F.struct(F.greatest(t["top"], x["l"]).alias("top"), (t["all"] + x["l"]).alias("all"), (t["east"] + F.when((x["z"] >= 0) & (x["z"] < 180), x["l"]).otherwise(0.0)).alias("east"))
-    out = lv.withColumn("s", F.aggregate("lv", zero, add))
-    out = out.select("o_orderkey", F.col("pz_clear").alias("clearness"), F.col("pz_bright").alias("brightness"), (F.col("s.top") / F.col("s.all")).alias("peak"), (F.col("s.east") / F.col("s.all")).alias("east"))
+    """All-weather sky luminance of each sky (order), over the patches of a division, an array of 153 constants.
+
+    Skies are dealt by key first, so that the sums over a sky's patches need no further shuffle.
+    """
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "5e0 + o_orderkey % 80 AS zen", "CAST(o_custkey % 360 AS DOUBLE) AS azimuth", "20e0 + o_totalprice / 2000e0 AS rad_d", "50e0 + o_custkey % 700 AS rad_i", "CAST(1 + o_orderkey % 365 AS DOUBLE) AS doy")
+    state = with_columns(o.repartition("o_orderkey"), [*_STATE, *simulation.SUN_TERMS])
+    lv = state.withColumn("p", F.explode(simulation.sky_patches(2)))
+    lv = lv.withColumns({"toward": simulation.toward_sun(F.col("p")), "z": F.col("p.z"), "path": F.col("p.path")})
+    lv = lv.withColumn("l", simulation.patch_luminance(F.col("path"), F.col("toward")))
+    east = F.sum(F.when((F.col("z") >= 0) & (F.col("z") < 180), F.col("l")).otherwise(0.0))
+    out = lv.groupBy("o_orderkey").agg(F.max("pz_clear").alias("clearness"), F.max("pz_bright").alias("brightness"), (F.max("l") / F.sum("l")).alias("peak"), (east / F.sum("l")).alias("east"))
     return rounded(out, 6, clearness=5, brightness=5)
 
 

@@ -279,3 +279,88 @@ def test_delay_stream_equals_batch(spark, tmp_path):
     assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (got[k] is None or abs(got[k] - want[k]) < 1e-9) for k in got)
     with pytest.raises(ValueError):
         fold.publish(fold.thermal_delay(stream, "tile"), str(tmp_path / "out"), str(tmp_path / "cp2"), {"v": 2}, ["tile"])
+
+
+def _small_scene():
+    rng = np.random.default_rng(8)
+    dem = np.zeros((24, 20))
+    dsm = dem.copy()
+    dsm[8:13, 6:11] = 12.0
+    tree = np.zeros_like(dem)
+    tree[16, 4:8], tree[4, 15] = 9.0, 6.0
+    return dsm + 0.01 * rng.random(dsm.shape), dem, tree
+
+
+def test_patch_sums_match_loops_over_patches():
+    """Long and short wave of a tile, against loops over the visibility cubes with arctangents."""
+    from heliogrid.operators import kernels, simulation
+
+    dsm, dem, tree = _small_scene()
+    g = simulation.Geometry(dsm, dem, tree)
+    sky = kernels.sky_view(dsm, g.canopy, g.trunk, g.bush, g.amax)
+    sh, veg, behind = (sky[n].astype(float) for n in ("shmat", "vegshmat", "vbshvegshmat"))
+    lv = np.linspace(1, 2, len(g.patches))
+    lv /= lv.sum()
+    met = {"altitude": 40.0, "azimuth": 130.0, "rad_i": 600.0, "rad_d": 120.0, "ta": 22.0}
+    esky, t_wall, lup = 0.8, 6.0, np.full(dsm.shape, 420.0)
+    walls = g.lit_walls(met)
+    sr, air = g.steradian, simulation.SIGMA * (22.0 + 273.15) ** 4
+    chi = lv * 120.0 / sum(x * s * np.sin(np.radians(p[2])) for x, s, p in zip(lv, sr, g.patches))
+    _, sky_side = g.patch_sums(simulation._DIFFUSE, np.stack([lv, chi * g.side], 1))
+    sun, shade = (0.2 * 600 * np.cos(np.radians(40)) + 60) / np.pi, 0.2 * 60 / np.pi
+    leaf, warm = 0.9 * air / np.pi, 0.9 * simulation.SIGMA * (28.0 + 273.15) ** 4 / np.pi
+    k_side = np.full(dsm.shape, 600 * np.cos(np.radians(40)))
+    l_side, l_down, from_sky, blocked_side, blocked_down = (np.zeros(dsm.shape) for _ in range(5))
+    for k, (_, _, alt, azi) in enumerate(g.patches):
+        side, down = sr[k] * np.cos(np.radians(alt)), sr[k] * np.sin(np.radians(alt))
+        edge = np.degrees(np.arctan(np.tan(g.asvf) + min(2 * np.cos(abs(np.radians(azi - 130.0))) * np.tan(np.radians(40)), 0)))
+        v, b = veg[..., k], behind[..., k]
+        wall = (sh[..., k] == 0) & (b == 1)
+        leafy = (v == 0) | (b == 0)
+        k_side += (sh[..., k] - (1 - v) * 0.97) * chi[k] * side + shade * leafy * side + wall * ((edge < alt) * sun + (edge > alt) * shade) * side
+        flux = ((sh[..., k] == 1) & (v == 1)) * (1 - (1 - esky) * np.exp(0.308 * (1.7 - 1 / np.cos(np.radians(90 - alt))))) * air / np.pi
+        from_sky += flux * down
+        flux = flux + leafy * leaf + wall * ((edge < alt) * warm + (edge > alt) * leaf)
+        l_side, l_down = l_side + flux * side, l_down + flux * down
+        hidden = (sh[..., k] == 0) | (v == 0) | (b == 0)
+        blocked_side, blocked_down = blocked_side + hidden * side, blocked_down + hidden * down
+    bounce = (from_sky + lup) * 0.1 * 0.5 / np.pi
+    assert kernels.TRANSMISSIVITY == pytest.approx(0.03)
+    assert np.allclose(simulation._side_shortwave(g, met, np.ones(dsm.shape), sky_side, walls), k_side, rtol=1e-5)
+    down_, side_ = simulation._longwave(g, met, esky, t_wall, lup, walls)
+    assert np.allclose(down_, l_down + bounce * blocked_down, rtol=1e-5) and np.allclose(side_, l_side + bounce * blocked_side, rtol=1e-5)
+
+
+def test_a_bush_leaves_its_own_pixel_open():
+    from heliogrid.operators import kernels
+
+    z = np.zeros((9, 9))
+    bush = z.copy()
+    bush[4, 4], bush[4, 6] = 3.0, 8.0
+    canopy, trunk = bush.copy(), z.copy()
+    _, veg, _ = kernels.sky_shadow(z, canopy, trunk, bush, 90.0, 60.0, 8.0)
+    assert veg[4, 6] == 1 and veg[4, 4] == 0  # the taller one, to the east, hides the sun from the lower
+    _, high, _ = kernels.sky_shadow(z, canopy, trunk, bush, 90.0, 85.0, 8.0)
+    assert high[4, 4] == 1
+
+
+def test_clearness_starts_anew_at_midnight():
+    from heliogrid.operators import simulation
+
+    g = simulation.Geometry(*_small_scene())
+    night = {"ta": 15.0, "rh": 60.0, "altitude": -20.0, "azimuth": 0.0, "esky": 0.75, "dectime": 10.9, "va": 1.0, "wd": -999.0, "press": 101.3, "wanted": ("tmrt",)}
+    state = simulation.State(clearness=0.5)
+    cloudy = simulation.step(g, night, state)["ldown"]
+    clear = simulation.step(g, night | {"dectime": 11.0}, state)["ldown"]
+    assert state.clearness == 1.0 and (clear < cloudy).all()
+
+
+def test_highest_sun_is_searched_in_quarters_of_an_hour(spark):
+    from heliogrid.operators import simulation
+    from heliogrid.sources import metfile
+
+    rows = [("2009 223 %d 0 -999 -999 -999 -999 -999 1.5 60 20 101.3 0 %d -999 -999 -999 -999 -999 -999 -999 -999 -999" % (h, 300 if 6 < h < 18 else 0),) for h in range(0, 24, 4)]
+    out = simulation.weather(metfile.parse(spark.createDataFrame(rows, "value string")), 40.0, -74.0, -5.0).collect()
+    # At 40 N on 11 August the sun culminates near 90 - 40 + 15.1 degrees, between two rows of this timeline.
+    assert {round(r.altmax, 6) for r in out} == {round(out[0].altmax, 6)} and out[0].altmax == pytest.approx(65.09, abs=0.05)
+    assert max(r.altitude for r in out) < out[0].altmax
