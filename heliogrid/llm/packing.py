@@ -5,13 +5,16 @@ their own.  The rest is dealt by hash to partitions of about PART_ROWS pieces, e
 by best-fit decreasing.  Dual-feasible functions give every partition a lower bound on the
 sequences it needs.  Partitions that use no more are certified and done.  The others have
 a gap: they exchange documents, being dealt anew among themselves into half as many
-partitions, and rerun; the rerun counts if it needs fewer sequences.  Last, the emptiest
-sequence of every partition is opened and those pieces are packed together, as every
-partition may have rounded up by one.
+partitions (as many, once these are GROWTH times as large), and rerun, as long as that saves
+sequences.  Last, the emptiest sequence of every partition is opened and those pieces are
+packed together, as every partition may have rounded up by one; that is done in groups of
+about PART_ROWS pieces, and again with the groups' emptiest sequences.
 
 Defined results.  A null text is empty, so it is the end token alone.  Repeated rows are
-documents of their own.  A null id is an ordinary value.  An empty table gives an empty
-result.  Only the named columns are read; ``carry`` columns pass through.
+documents of their own, dealt by a row number, so that rows without ids or with one id spread
+too.  A null id is an ordinary value.  Ties in length go by id, piece and row.  A text of any
+length is tokenised whole.  An empty table gives an empty result.  Only the named columns are
+read; ``carry`` columns pass through, and may be named like no result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ from .storage import written
 CAPACITY = 1024
 END_TOKEN = 2
 PART_ROWS = 50_000
-ROUNDS = 3
+#: A partition that exchanges documents grows to this many times PART_ROWS at most.
+GROWTH = 8
 _CACHE_WORDS = 200_000
 _CACHE_CHARS = 48
 _MARKS = '!"#$%&()*+,-./:;<=>?@[]^_`{|}~'
@@ -91,7 +95,8 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.uneven = re.compile(r"\s\s").search  # \s holds all white space of Unicode, and 1C to 1F
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
         self.encode = _by_ranks(path, self._slow) or self._slow
@@ -110,6 +115,8 @@ class Encoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if self.added(text):  # a token beside the merges, such as an end mark, is one id
+            return _bytes_of(self._slow(text))
         if self.uneven(text) or text[:1].isspace() or text[-1:].isspace():
             first, *rest = self.cut(text)
             return self[first] + b"".join([self[" " + x] for x in rest])
@@ -198,21 +205,21 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return where, offset, np.array(fill, np.int64)
 
 
-def pack(items: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, carry: tuple[str, ...] = (), part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """Place pieces into sequences: adds sequence_id, offset and part_bound to every row.
+def pack(items: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, carry: tuple[str, ...] = (), part_rows: int = PART_ROWS) -> DataFrame:
+    """Place pieces into sequences: adds sequence_id, offset, part_bound and certified to every row.
 
     ``items`` has id_col, piece, start, length and the carried columns.  part_bound is the
-    lower bound of the row's partition (1 for a full piece).
+    lower bound of the row's partition (1 for a full piece), certified whether it used no more.
     """
-    base = [id_col, "piece", "start", "length", *carry]
-    items = written(items.select(*base), "pack-items")
+    given = [id_col, "piece", "start", "length", *carry]
+    items = written(items.select(*given, F.monotonically_increasing_id().alias("__row")), "pack-items")
+    base = [*given, "__row"]
     short = items.filter(F.col("length") < capacity)
     total = short.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    parts = max(1, -(-total // part_rows))
     schema = T.StructType([*items.schema.fields, T.StructField("part", T.LongType()), T.StructField("bin", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("bins", T.LongType()), T.StructField("bound", T.LongType()), T.StructField("last", T.LongType())])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), (id_col, "ascending"), ("piece", "ascending"), *((c, "ascending") for c in carry)])
+        table = table.sort_by([("length", "descending"), (id_col, "ascending"), ("piece", "ascending"), ("__row", "ascending")])
         lengths = table["length"].to_numpy()
         where, offset, fill = best_fit_decreasing(lengths, capacity)
         same = lambda x: pa.array(np.full(len(lengths), x, np.int64))
@@ -221,37 +228,42 @@ def pack(items: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, car
             table = table.append_column(name, column)
         return table.select(schema.names)
 
-    def packed(df: DataFrame) -> DataFrame:
-        return written(df.groupBy("part").applyInArrow(run, schema), "packed")
+    used = 0
 
-    def deal(df: DataFrame, first: int, n: int, seed: int) -> DataFrame:
-        return df.select(*base).withColumn("part", F.lit(first) + F.pmod(F.xxhash64(id_col, "piece", "start", "length", F.lit(seed)), F.lit(n)))
+    def packed(df: DataFrame, n: int) -> DataFrame:
+        """Deal the rows to n partitions, numbered on, and pack each."""
+        nonlocal used
+        part = F.lit(used) + F.pmod(F.xxhash64("__row", F.lit(used)), F.lit(n))
+        used += n
+        return written(df.select(*base).withColumn("part", part).groupBy("part").applyInArrow(run, schema), "packed")
 
-    def stats(df: DataFrame) -> list:  # one row a partition, each of about part_rows pieces
-        return df.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound")).collect()
+    def stats(df: DataFrame) -> DataFrame:  # a row a partition
+        return df.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"), F.count(F.lit(1)).alias("n"))
 
-    def only(df: DataFrame, of: list[int], inside: bool = True) -> DataFrame:
-        known = F.broadcast(df.sparkSession.createDataFrame(pa.table({"part": pa.array(of, pa.int64())})))
-        return df.join(known, "part", "left_semi" if inside else "left_anti")
+    def sums(df: DataFrame):
+        return df.agg(F.count(F.lit(1)).alias("parts"), F.coalesce(F.sum("bins"), F.lit(0)).alias("bins"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
 
-    now, used = packed(deal(short, 0, parts, 0)), parts
-    for step in range(1, rounds + 1):
-        gap = [r for r in stats(now) if r["bins"] > r["bound"]]
-        if len(gap) < 2:
+    now = packed(short, max(1, -(-total // part_rows)))
+    while True:
+        gap = written(stats(now).filter("bins > bound"), "pack-gap")
+        open_ = sums(gap)
+        if open_["parts"] < 2:
             break
-        ids = [r["part"] for r in gap]
-        again = packed(deal(only(now, ids), used, -(-len(gap) // 2), step))
-        used += -(-len(gap) // 2)
-        if sum(r["bins"] for r in stats(again)) >= sum(r["bins"] for r in gap):
+        again = packed(now.join(gap, "part", "left_semi"), max(-(-open_["parts"] // 2), -(-open_["n"] // (GROWTH * part_rows))))
+        if sums(stats(again))["bins"] >= open_["bins"]:
             break
-        now = written(only(now, ids, False).unionByName(again), "packed-round")
-    if now.select("part").distinct().limit(2).count() > 1:
+        now = written(now.join(gap, "part", "left_anti").unionByName(again), "packed-round")
+    done = []
+    while (parts := sums(stats(now))["parts"]) > 1:
         loose = now.filter("bin = last")
-        rest = packed(loose.select(*base).withColumn("part", F.lit(used).cast("long")))
-        saved = rest.agg(F.max("bins")).first()[0] < loose.select("part").distinct().count()
-        if saved:
-            now = now.filter("bin <> last").unionByName(rest)
+        rest = packed(loose, max(1, -(-loose.count() // part_rows)))
+        if sums(stats(rest))["bins"] >= parts:
+            break
+        done.append(now.filter("bin <> last"))
+        now = rest
+    for kept in done:
+        now = now.unionByName(kept)
     wide = F.lit(1 << 24)  # bins of a partition are far fewer
-    placed = now.select(*base, (F.col("part") * wide + F.col("bin")).alias("sequence_id"), "offset", F.col("bound").alias("part_bound"))
-    whole = items.filter(F.col("length") >= capacity).select(*base, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("part_bound"))
+    placed = now.select(*given, (F.col("part") * wide + F.col("bin")).alias("sequence_id"), "offset", F.col("bound").alias("part_bound"), (F.col("bins") <= F.col("bound")).alias("certified"))
+    whole = items.filter(F.col("length") >= capacity).select(*given, (-1 - F.col("__row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("part_bound"), F.lit(True).alias("certified"))
     return placed.unionByName(whole)

@@ -13,8 +13,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_encoder_equals_tokenizer():
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
-    texts = ["One two, three.\nFour  five\n\n six ", "it's I'll they'd'x", "a\x1c b c   d", "", " lead", "x\n", "<|endoftext|> hi", "Été!! niño *** $$$a", "日本 語 x1 22 é", "a.b!? c--", "\x85 a"]
+    texts = ["One two, three.\nFour  five\n\n six ", "it's I'll they'd'x", "a\x1c b c   d", "", " lead", "x\n", "<|endoftext|> hi", "a  <|endoftext|>b <|endoftext|>", "<|endoftext", "Été!! niño *** $$$a", "日本 語 x1 22 é", "a.b!? c--", "\x85 a"]
     enc = packing.Encoder(PATH)
     for t in texts * 2:
         assert enc.ids(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
@@ -54,6 +53,15 @@ def test_pack_whole_documents(spark, part_rows):
         g = g.sort_values("offset")
         assert g.length.sum() <= 256 and (g.length.cumsum() - g.length == g.offset).all()
     assert out.sequence_id.nunique() <= -(-out.length.sum() // 256) + 8
+    if part_rows > 40:
+        short = out[out.length < 256]
+        assert short.certified.all() == (short.sequence_id.nunique() == short.part_bound.iloc[0])
+
+
+def test_rows_without_ids_spread(spark):
+    df = spark.range(600).selectExpr("CAST(NULL AS bigint) AS doc_id", "CAST(0 AS int) AS piece", "CAST(0 AS bigint) AS start", "100 + id % 7 AS length")
+    out = packing.pack(df, capacity=256, part_rows=50).toPandas()
+    assert len(out) == 600 and out.groupby("sequence_id").length.sum().max() <= 256 and out.sequence_id.nunique() == 300
 
 
 def test_pack_empty(spark):
