@@ -50,7 +50,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 def _open(uri: str, write: bool):
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    system, path = fs.FileSystem.from_uri("s3://" + rest if scheme in ("s3a", "s3n") else uri)
     if write:
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         return system.open_output_stream(path, compression=None)
@@ -265,7 +266,9 @@ def convert(arcs: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
                 n += 1
         return pa.table({"file": [target], "records": pa.array([n], pa.int64())})
 
-    return written(decided.groupBy("file").applyInArrow(run, "file string, records long"), "warc-files")
+    # As many partitions as there are files, twice: Spark would put so small a table into one.
+    dealt = decided.repartition(max(1, min(2 * arcs.count(), 20_000)), "file")
+    return written(dealt.groupBy("file").applyInArrow(run, "file string, records long"), "warc-files")
 
 
 def read_warc(warcs: DataFrame) -> DataFrame:
