@@ -34,16 +34,18 @@ SLOT_ROWS = 20_000
 def place(vectors: np.ndarray, n_shards: int) -> np.ndarray:
     """Shard of each vector, by decreasing largest share.
 
-    The first dimension, bytes, is the law: a vector fits where that much of it is left.  Among
+    A vector fits where that much is left of all dimensions: bytes, tokens and rows.  Among
     those shards the one is taken whose residual capacity has the highest dot product with
-    the vector; if it fits nowhere, the one with most bytes left.
+    the vector, the first of equal ones.  Where it fits in none, the first dimension decides,
+    as bytes are the law: among shards with so many bytes left, then the one with most left.
     """
     total = vectors.sum(axis=0)
     shares = vectors / np.where(total > 0, total, 1)
     left = np.full((n_shards, vectors.shape[1]), 1 / n_shards)
     out = np.zeros(len(vectors), np.int32)
     for i in np.argsort(-shares.max(axis=1), kind="stable"):
-        fits = left[:, 0] >= shares[i, 0] - 1e-12
+        enough = left >= shares[i] - 1e-12
+        fits = enough.all(axis=1) if enough.all(axis=1).any() else enough[:, 0]
         score = np.where(fits, np.maximum(left, 0) @ shares[i], -np.inf) if fits.any() else left[:, 0]
         out[i] = int(np.argmax(score))
         left[out[i]] -= shares[i]
