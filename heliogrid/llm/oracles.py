@@ -6,20 +6,24 @@ WITH d AS (
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ssize FROM d GROUP BY source),
-r AS (SELECT *, ([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE])[CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w,
+r AS (SELECT *, CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS INTEGER) AS class,
+             ([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE])[CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w,
              CAST(2 * ssize AS DOUBLE) AS cap FROM s),
 q AS (SELECT *, cap / w AS ratio, CAST(sum(ssize) OVER () AS DOUBLE) * 1.5::DOUBLE AS budget FROM r),
 l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM q),
 m AS (SELECT *, max(CASE WHEN ratio > lvl THEN lvl END) OVER () AS level FROM l),
-t AS (SELECT source, ssize, CASE WHEN level IS NULL OR ratio <= level THEN cap ELSE level * w END AS target FROM m),
-p AS (SELECT d.doc_id, d.size, t.ssize, t.target,
+t AS (SELECT source, ssize, class, CASE WHEN level IS NULL OR ratio <= level THEN cap ELSE level * w END AS target FROM m),
+p AS (SELECT d.doc_id, d.size, t.ssize, t.target, t.class,
              CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT *, CASE WHEN target > 0 THEN (start + size / 2.0::DOUBLE) / target ELSE 0.0::DOUBLE END AS x FROM p)
 SELECT doc_id, size, ssize AS source_size, target,
+       round(CASE WHEN 2 * start + size <= 2 * target THEN least(1.0::DOUBLE, CASE class WHEN 0 THEN 2 * x / (sqrt(greatest(2.25::DOUBLE - 2 * x, 0.0::DOUBLE)) + 1.5::DOUBLE)
+             WHEN 1 THEN x ELSE 2 * x / (sqrt(0.0625::DOUBLE + 3 * x) + 0.25::DOUBLE) END) END, 6) AS position,
        size * (CASE WHEN 2 * start + size <= 2 * target THEN 1 ELSE 0 END
              + CASE WHEN 2 * (start + ssize) + size <= 2 * target THEN 1 ELSE 0 END) AS taken
-FROM p"""
+FROM f"""
 
 OP3 = r"""
 WITH c AS (

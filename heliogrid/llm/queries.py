@@ -48,7 +48,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cut = packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     placed = packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")), carry=("ids_crc32",))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part_bound")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part_bound", "certified")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_positions")).alias("taken"))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_positions")).alias("taken"), F.round(F.try_element_at("mix_positions", F.lit(1)), 6).alias("position"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
