@@ -17,7 +17,8 @@
    each class forgets the EXTRA most frequent ones of a band, which loses no pair (see
    ``parity``) and ends the runs of passages that many documents share.  The members left are
    compared by their sketches, in blocks of bounded size that give out only what passes the
-   Hamming bound; that is verified and the components closed again.
+   Hamming bound; that is verified and the components closed again.  A first pass takes of
+   every two components in a block the nearest pair, the second one all that is left.
 
 No step drops a candidate that could reach the threshold, so the components are exact
 (up to collisions of 64-bit hashes).
@@ -301,10 +302,18 @@ def _verified(close: DataFrame, texts: DataFrame, n: int, bands: Bands, star: in
     return rows.mapInArrow(verify, "a long, b long").distinct()
 
 
-def _late_pairs(members: DataFrame, classes: DataFrame, bands: Bands, chunk: int) -> DataFrame:
+def _nearest(one: np.ndarray, two: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Of pairs with labels one and two, the index of the nearest of each two labels."""
+    order = np.lexsort((distance, two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    return order[new]
+
+
+def _late_pairs(members: DataFrame, classes: DataFrame, bands: Bands, chunk: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of different labels within runs (key, cls, label, m members), near by their sketches.
 
-    A run is cut by hash into about m / chunk parts, and every two parts meet in a block.
+    If ``nearest``, a block gives out one pair of every two labels, else all.  A run is cut by hash into about m / chunk parts, and every two parts meet in a block.
     """
     num, den = bands.num, bands.den
     parts = F.ceil(F.col("m") / chunk).cast("int")
@@ -317,7 +326,7 @@ def _late_pairs(members: DataFrame, classes: DataFrame, bands: Bands, chunk: int
         held = None
 
         def pairs_of(t: dict[str, np.ndarray]) -> pa.RecordBatch:
-            found_a, found_b = [], []
+            rows, cols, far = [], [], []
             cls, label, part, own, n, s = (t[k] for k in ("cls", "label", "c", "own", "n", "s"))
             for lo in range(0, len(cls), 256):
                 i = slice(lo, lo + 256)
@@ -329,9 +338,18 @@ def _late_pairs(members: DataFrame, classes: DataFrame, bands: Bands, chunk: int
                 near &= den * np.minimum(n[i, None], n[None, :]) >= num * np.maximum(n[i, None], n[None, :])
                 near &= (label[i, None] < label[None, :]) & (own[i, None] | (part[i, None] != part[None, :]))
                 x, y = np.nonzero(near)
-                found_a.append(np.minimum(cls[i][x], cls[y]))
-                found_b.append(np.maximum(cls[i][x], cls[y]))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+                d = dist[x, y]
+                if nearest:
+                    first = _nearest(label[lo + x], label[y], d)
+                    x, y, d = x[first], y[first], d[first]
+                rows.append(lo + x)
+                cols.append(y)
+                far.append(d)
+            x, y, d = map(np.concatenate, (rows, cols, far))
+            if nearest:
+                first = _nearest(label[x], label[y], d)
+                x, y = x[first], y[first]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[x], cls[y])), pa.array(np.maximum(cls[x], cls[y]))], names=["a", "b"])
 
         for batch in batches:
             if not len(batch):
@@ -369,20 +387,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Long runs: compare what the stars have left apart.
     whole = F.col("key").bitwiseAND(F.lit(~SHORT)).alias("key")
     member = hits.filter("key IS NOT NULL").groupBy(whole, F.col("a").alias("cls")).agg(F.max(F.col("key").bitwiseAND(F.lit(SHORT))).alias("short"))
-    member = member.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "short", F.coalesce("label", "cls").alias("label"))
     member = written(member, "jaccard-members")
-    split = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m")
     band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS + 1) - 1))
     rank = F.row_number().over(Window.partitionBy("cls", band).orderBy(F.col("m").desc(), "key"))
-    member = member.join(split, "key").withColumn("rank", rank).filter((F.col("rank") > EXTRA) | (F.col("short") != 0))
-    member = written(member.select("key", "cls", "label", "m"), "jaccard-apart")
-    apart = _late_pairs(member, classes, bands, chunk).distinct()
-    apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "jaccard-late-pairs")
-    if apart.limit(1).count():
+    for nearest in (True, False):  # the nearest pairs join most of what is similar, which leaves few of all pairs
+        named = member.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "short", F.coalesce("label", "cls").alias("label"))
+        named = written(named, "jaccard-labelled")
+        split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m")
+        named = named.join(split, "key").withColumn("rank", rank).filter((F.col("rank") > EXTRA) | (F.col("short") != 0))
+        named = written(named.select("key", "cls", "label", "m"), "jaccard-apart")
+        apart = _late_pairs(named, classes, bands, chunk, nearest).distinct()
+        apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "jaccard-late-pairs")
+        if not apart.limit(1).count():
+            continue
+        pairs = pairs.union(apart)
         close = _close(apart, classes, bands)
         late, _ = _links(close, _texts(close, classes, docs, id_col, text_col, n), n, bands, star)
         if late.limit(1).count():
-            labels = components(links.union(late))
+            links = links.union(late)
+            labels = components(links)
 
     grouped = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     grouped = written(grouped, "jaccard-grouped")
