@@ -12,13 +12,20 @@ ASCII, a word of bytes is a word of code points.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+
+# Arrays of 2 MB and more go back to the system as soon as they are freed, where the C library
+# allows to say so; else a worker would keep the most that it ever held.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL(None).mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
 
 U64 = np.uint64
 _STEP = U64(0xD6E8FEB86659FD93)
