@@ -201,3 +201,18 @@ def test_pipeline_on_a_small_table(spark, tmp_path):
     out = cp.run(spark, str(tmp_path)).toPandas()
     assert out.groupby("sequence_id").length.sum().max() <= 1024
     assert len(out) == mixed.count()
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Rows of one id, without an id, and equal rows; extra columns named like those of the operators."""
+    import corpus_pipeline as cp
+
+    a, z, k = ([f"{x}{i}" for i in range(40)] for x in "azk")
+    text = lambda *w: " ".join(w)
+    rows = [(3, text(*a)), (5, text(*a, "more")), (5, text(*z)), (8, text(*k)), (8, text(*k, "more")), (None, text(*z, "more")), (9, None), (9, None), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id long")
+    out = cp.ngram_jaccard(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(d for d, _ in got) == [3, 5, 8, 9, 10] and (3, text(*a)) in got and (5, text(*z)) in got
+    assert cp.ngram_jaccard(spark, docs.limit(0), "").count() == 0
