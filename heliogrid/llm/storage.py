@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that the cluster shares.
 
-``spark.checkpoint.dir`` of the session names that folder.  Only where it is unset, as
-in tests on one machine, a folder of the driver is used.  Tables written here cut the
+``spark.checkpoint.dir`` of the session names that folder.  Only where it is unset and the
+master is local, as in tests on one machine, a folder of the driver is used; on a cluster
+that is an error.  Tables written here cut the
 lineage: an executor lost later costs no recomputation of what was written before.
 """
 
@@ -21,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder's URI, without a trailing slash."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share on {master}")
         app = spark.sparkContext.applicationId
         named = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="heliogrid-"))
     return named.rstrip("/")
