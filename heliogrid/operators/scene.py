@@ -123,3 +123,8 @@ def hourly_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, least and greatest per group, skipping NaN."""
     v = F.nanvl(F.col(value), F.lit(None))
     return df.groupBy(*by).agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"))
+
+
+def place_buildings(df: DataFrame, height: str = "height", least: float = 1.0) -> DataFrame:
+    """Trees make way for buildings above ``least``; dsm becomes the terrain plus the buildings."""
+    return df.withColumns({"tree": F.when(F.col(height) > least, 0.0).otherwise(F.col("tree")), "dsm": F.col("dem") + F.col(height)})

@@ -139,3 +139,13 @@ def daily_maximum_altitude(days: DataFrame, altitude: str, keys: list[str], ts:
     w = Window.partitionBy(*keys).orderBy(ts)
     rows = days.filter(F.date_format(ts, "HH:mm") >= "10:15").withColumn("next_", F.lead(altitude).over(w))
     return rows.filter(F.col("next_").isNull() | (F.col("next_") < F.col(altitude))).groupBy(*keys).agg(F.min_by(altitude, ts).alias("max_altitude"))
+
+
+def water_temperature(df: DataFrame, keys: list[str], ts: str, ta: str) -> DataFrame:
+    """twater: the mean of ``ta`` over the day, taken at the first row and at each midnight and kept until the next."""
+    ordered = Window.partitionBy(*keys).orderBy(ts)
+    mean = F.avg(ta).over(Window.partitionBy(*keys, F.to_date(ts)))
+    taken = (F.row_number().over(ordered) == 1) | (F.date_trunc("day", ts) == F.col(ts))
+    out = df.withColumns({"mean_": mean, "taken_": taken})
+    kept = F.last(F.when(F.col("taken_"), F.col("mean_")), ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("twater", kept).drop("mean_", "taken_")

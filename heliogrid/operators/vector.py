@@ -81,3 +81,22 @@ def rasterize(features: DataFrame, gt: list[float], rows: int, cols: int) -> Dat
     a, b = F.greatest(col(F.col("k")), F.lit(0)), F.least(col(F.col("k") + 1) - 1, F.lit(cols - 1))
     cells = spans.filter(a <= b).select("idx", "value", "row", F.explode(F.sequence(a, b)).alias("col"))
     return cells.groupBy("row", "col").agg(F.max_by("value", "idx").alias("value"))
+
+
+def distinct_shapes(features: DataFrame) -> DataFrame:
+    """One feature of each ring, that of the smallest idx."""
+    first = features.groupBy("ring").agg(F.min(F.struct("idx", "value")).alias("f"))
+    return first.select("f.idx", "f.value", "ring")
+
+
+def to_geojson(features: DataFrame, height: str = "height") -> DataFrame:
+    """A GeoJSON text (a collection of one polygon) per feature, which ``from_geojson`` reads."""
+    point = lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"))
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(F.transform("ring", point)).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("value").alias(height)).alias("properties"), shape.alias("geometry"))
+    return features.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("json"))
+
+
+def write_geojson(features: DataFrame, path: str) -> None:
+    """A collection per line of text files, so that any number of features is written by all tasks."""
+    to_geojson(features).write.text(path)

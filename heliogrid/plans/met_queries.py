@@ -244,3 +244,19 @@ def hourly_tumbling_windows(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     out = e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
     return rounded(out.select("event_type", F.col("w.start").alias("hour"), "n", "v"), 4)
+
+
+@query(f"""WITH m AS (SELECT cell, hour, avg(v) OVER (PARTITION BY cell, date_trunc('day', hour)) AS mean, row_number() OVER (PARTITION BY cell ORDER BY hour) AS i FROM {HOURLY})
+SELECT cell, hour, round(last_value(CASE WHEN i = 1 OR extract(hour FROM hour) = 0 THEN mean END IGNORE NULLS) OVER (PARTITION BY cell ORDER BY hour ROWS UNBOUNDED PRECEDING), 6) AS twater FROM m""")
+def water_temperature_daily(spark, sf_dir):
+    return rounded(timeline.water_temperature(hourly(spark, sf_dir).select("cell", "hour", "v"), ["cell"], "hour", "v").select("cell", "hour", "twater"))
+
+
+@query("""SELECT tile, max(file) AS file, CAST(split_part(tile, '_', 1) AS BIGINT) AS ti, CAST(split_part(tile, '_', 2) AS BIGINT) AS tj FROM
+ (SELECT user_id || '_' || event_id % 7 AS tile, 'DEM_' || user_id || '_' || event_id % 7 || '_v' || event_id % 11 || CASE event_id % 3 WHEN 0 THEN '.tif' WHEN 1 THEN '.TXT' ELSE '.png' END AS file FROM events)
+ WHERE NOT file LIKE '%.png' GROUP BY tile""")
+def tile_files_latest(spark, sf_dir):
+    e = F.col("event_id")
+    kind = F.when(e % 3 == 0, ".tif").when(e % 3 == 1, ".TXT").otherwise(".png")
+    name = F.concat(F.lit("DEM_"), F.col("user_id").cast("string"), F.lit("_"), (e % 7).cast("string"), F.lit("_v"), (e % 11).cast("string"), kind)
+    return grid.tile_files(table(spark, sf_dir, "events").select(name.alias("file")))

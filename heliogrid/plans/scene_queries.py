@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import grid, scene, vector
+from ..operators import compare, grid, scene, vector
 from .fixtures import SCENE, rounded, table
 from .fixtures import scene as scene_table
 
@@ -254,3 +254,60 @@ def clip_polygons(spark, sf_dir):
     after = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
     twice = F.aggregate(F.zip_with("ring", after, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda t, x: t + x)
     return rounded(c.select("idx", "value", (twice / 2).alias("area")))
+
+
+@query(f"""SELECT row, col, CASE WHEN dsm - dem > 1 THEN 0e0 ELSE tree END AS tree, dem + (dsm - dem) AS dsm FROM {SCENE}""")
+def building_surface(spark, sf_dir):
+    s = scene_table(spark, sf_dir).withColumn("height", F.col("dsm") - F.col("dem"))
+    return scene.place_buildings(s).select("row", "col", "tree", "dsm")
+
+
+@query(f"""WITH a AS (SELECT *, unnest(generate_series(CAST(greatest(ceil((col - 24) / 20e0), 0) AS BIGINT), CAST(floor(col / 20e0) AS BIGINT))) * 20 AS ti FROM {SCENE}),
+t AS (SELECT *, unnest(generate_series(CAST(greatest(ceil((row - 24) / 20e0), 0) AS BIGINT), CAST(floor(row / 20e0) AS BIGINT))) * 20 AS tj FROM a)
+SELECT row, col, arg_min(v, tile) FILTER (v IS NOT NULL) AS v FROM (SELECT row, col, ti || '_' || tj AS tile, CASE WHEN tree > 0 AND ti % 40 = 0 THEN NULL ELSE dsm + ti + tj END AS v FROM t) GROUP BY row, col""")
+def mosaic_overlap(spark, sf_dir):
+    s = scene_table(spark, sf_dir)
+    t = grid.tiles(s, 20, 5, 1 << 30, 50).withColumn("v", F.when((F.col("tree") > 0) & (F.col("ti") % 40 == 0), None).otherwise(F.col("dsm") + F.col("ti") + F.col("tj")))
+    return grid.mosaic(t, "v", "tile")
+
+
+def _haversine(a: str, b: str) -> str:
+    return f"2 * 6371000e0 * asin(sqrt(least(power(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * power(sin(radians({b}.lon - {a}.lon) / 2), 2), 1e0)))"
+
+
+@query(f"""WITH c AS (SELECT row, col, 40e0 + row / 100e0 + col / 2000e0 AS lat, -74e0 + col / 80e0 + row / 3000e0 AS lon FROM {SCENE}),
+d AS (SELECT a.row, a.col, median({_haversine('a', 'b')}) FILTER (b.row = a.row) AS w, median({_haversine('a', 'b')}) FILTER (b.col = a.col) AS h
+ FROM c a LEFT JOIN c b ON (b.row = a.row AND abs(b.col - a.col) = 1) OR (b.col = a.col AND abs(b.row - a.row) = 1) GROUP BY a.row, a.col)
+SELECT row, col, round(coalesce(w, h, 1e30), 4) AS width, round(coalesce(h, w, 1e30), 4) AS height FROM d""")
+def median_cell_size(spark, sf_dir):
+    lat, lon = 40 + F.col("row") / 100 + F.col("col") / 2000, -74 + F.col("col") / 80 + F.col("row") / 3000
+    c = scene_table(spark, sf_dir).select("row", "col", lat.alias("lat"), lon.alias("lon"))
+    return rounded(grid.cell_size(c).select("row", "col", "width", "height"), 4)
+
+
+@query(f"""WITH a AS (SELECT lc, tree FROM {SCENE}), b AS (SELECT CASE WHEN lc < 1 OR lc > 7 THEN 6 WHEN lc IN (3, 4) THEN 5 ELSE lc END AS lc, greatest(tree, 0e0) AS tree FROM {SCENE})
+SELECT lc, tree, CAST(count(*) AS BIGINT) AS surplus FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY lc, tree
+UNION ALL SELECT lc, tree, CAST(-count(*) AS BIGINT) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY lc, tree""")
+def artifact_multiset_difference(spark, sf_dir):
+    s = scene_table(spark, sf_dir)
+    clean = scene.normalize(s).withColumn("lc", scene.land_cover_class(F.col("lc")))
+    return compare.multiset_difference(s, clean, ["lc", "tree"])
+
+
+def _squares(s):
+    """A square around each building pixel, by its place in blocks of 7 rows."""
+    x, y = F.col("col").cast("double"), (F.col("row") % 7).cast("double")
+    ring = F.array(*[F.struct((x + i).alias("x"), (y + j).alias("y")) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    return s.filter("dsm > dem").select((F.col("row") * 50 + F.col("col")).alias("idx"), (F.col("dsm") - F.col("dem")).alias("value"), ring.alias("ring"))
+
+
+@query(f"""SELECT min(row * 50 + col) AS idx, arg_min(dsm - dem, row * 50 + col) AS value, CAST(col AS DOUBLE) AS x, CAST(row % 7 AS DOUBLE) AS y FROM {SCENE} WHERE dsm > dem GROUP BY col, row % 7""")
+def distinct_shapes(spark, sf_dir):
+    out = vector.distinct_shapes(_squares(scene_table(spark, sf_dir)))
+    return out.select("idx", "value", F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y"))
+
+
+@query(f"""SELECT CAST(dsm - dem AS DOUBLE) AS value, CAST(col AS DOUBLE) AS x, CAST(row % 7 AS DOUBLE) AS y, 5 AS points FROM {SCENE} WHERE dsm > dem""")
+def geojson_round_trip(spark, sf_dir):
+    back = vector.from_geojson(vector.to_geojson(_squares(scene_table(spark, sf_dir))))
+    return back.select("value", F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y"), F.size("ring").alias("points"))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from heliogrid import api, cli, session
 from heliogrid.functions import comfort, humidity, radiation, solar, wind
 from heliogrid.functions.expr import column
-from heliogrid.operators import grid, kernels, rays, scene, tiles, timeline
+from heliogrid.operators import compare, grid, kernels, rays, scene, tiles, timeline, vector
 from heliogrid.operators.columns import with_columns
-from heliogrid.sources import geotiff, images, metfile, netcdf3
+from heliogrid.sources import geotiff, images, landcover, metfile, netcdf3
 
 
 def value(spark, text):
@@ -364,3 +364,35 @@ def test_highest_sun_is_searched_in_quarters_of_an_hour(spark):
     # At 40 N on 11 August the sun culminates near 90 - 40 + 15.1 degrees, between two rows of this timeline.
     assert {round(r.altmax, 6) for r in out} == {round(out[0].altmax, 6)} and out[0].altmax == pytest.approx(65.09, abs=0.05)
     assert max(r.altitude for r in out) < out[0].altmax
+
+
+def test_land_cover_table_of_a_file(spark, tmp_path):
+    (tmp_path / "lc.txt").write_text("Name Code Alb Emis Ts Tstart Tmax\nRoof 2 0.18 0.95 0.58 -9.78 15.0\r\n\n Water  7 0.05 0.98 0 0 12\n")
+    rows = [tuple(r) for r in landcover.read(spark, str(tmp_path / "lc.txt")).orderBy("code").collect()]
+    assert rows == [("Roof", 2, 0.18, 0.95, 0.58, -9.78, 15.0), ("Water", 7, 0.05, 0.98, 0.0, 0.0, 12.0)]
+
+
+def test_tiles_sort_as_numbers_or_texts(spark):
+    df = spark.createDataFrame([("100_0",), ("20_0",), ("20_100",), ("20_9",)], "tile string")
+    assert [r[0] for r in grid.by_tile(df).collect()] == ["20_0", "20_9", "20_100", "100_0"]
+    assert [r[0] for r in grid.by_tile(df, numeric=False).collect()] == ["100_0", "20_0", "20_100", "20_9"]
+
+
+def test_multisets_differ_by_counts_and_nulls(spark):
+    a = spark.createDataFrame([(1,), (1,), (None,), (2,)], "x int")
+    b = spark.createDataFrame([(1,), (None,), (3,)], "x int")
+    assert {tuple(r) for r in compare.multiset_difference(a, b, ["x"]).collect()} == {(1, 1), (2, 1), (3, -1)}
+    assert compare.multiset_difference(a, a, ["x"]).count() == 0
+
+
+def test_cell_without_neighbours(spark):
+    one = spark.createDataFrame([(0, 0, 40.0, -74.0), (0, 2, 40.0, -73.0)], "row int, col int, lat double, lon double")
+    assert {tuple(r) for r in grid.cell_size(one).select("width", "height").collect()} == {(1e30, 1e30)}
+
+
+def test_geojson_files_round_trip(spark, tmp_path):
+    ring = [(0.0, 0.0), (2.5, 0.0), (2.5, 1.0), (0.0, 0.0)]
+    f = spark.createDataFrame([(0, 12.5, ring), (1, 7.0, ring)], "idx int, value double, ring array<struct<x: double, y: double>>")
+    vector.write_geojson(f, str(tmp_path / "g"))
+    back = vector.from_geojson(spark.read.text(str(tmp_path / "g")), json="value").collect()
+    assert {(r["value"], tuple(map(tuple, r["ring"]))) for r in back} == {(12.5, tuple(ring)), (7.0, tuple(ring))}
