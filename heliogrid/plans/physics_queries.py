@@ -160,16 +160,25 @@ def building_shadow_ray(spark, sf_dir):
     return rays.building_shadow(scene(spark, sf_dir), rays.schedule_table(spark, _RAYS)).select("row", "col", "ray", "sunlit")
 
 
-_WEIGHTS = f"(VALUES {', '.join(f'({i}, {num(z)}, {num(w[0])}, {num(w[1])})' for i, (z, w) in enumerate(zip(rays.sky_azimuths(2)[:64], rays.patch_weights(2)[:64])))}) AS w(patch_id, azimuth, w, wd)"
+_WEIGHTS = f"(VALUES {', '.join(f'({i}, {num(z)}, {num(w[0])}, {num(w[1])})' for i, (z, w) in enumerate(zip(rays.sky_azimuths(2), rays.patch_weights(2))))}) AS w(patch_id, azimuth, w, wd)"
+_SEEN = "(SELECT vec_id, CAST(k.range AS INTEGER) AS patch_id, embedding[CAST(k.range % 64 AS INTEGER) + 1] - (k.range // 64) / 20e0 AS x FROM embeddings, range(0, 153) k)"
 
 
-@query(f"""WITH v AS (SELECT vec_id, CAST(k.range AS INTEGER) AS patch_id, CASE WHEN embedding[CAST(k.range AS INTEGER) + 1] > 0 THEN 1 ELSE 0 END AS visible FROM embeddings, range(0, 64) k)
+def _seen(spark, sf_dir):
+    """x of every patch of every pixel: a component of the vector, less a twentieth for each time it was used before."""
+    patch = F.explode(F.sequence(F.lit(0), F.lit(len(rays.patches(2)) - 1))).alias("patch_id")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", patch)
+    x = F.col("embedding")[F.col("patch_id") % 64] - F.floor(F.col("patch_id") / 64) / 20
+    return v.select("vec_id", "patch_id", x.alias("x"))
+
+
+@query(f"""WITH v AS (SELECT vec_id, patch_id, CASE WHEN x > 0 THEN 1 ELSE 0 END AS visible FROM {_SEEN})
 SELECT vec_id, round(least(sum(visible * w), 1e0), 6) AS svf, round(least(sum(CASE WHEN azimuth >= 0 AND azimuth < 180 THEN visible * wd ELSE 0 END), 1e0), 6) AS svf_e,
  round(least(sum(CASE WHEN azimuth >= 90 AND azimuth < 270 THEN visible * wd ELSE 0 END), 1e0), 6) AS svf_s, round(least(sum(CASE WHEN azimuth >= 180 AND azimuth < 360 THEN visible * wd ELSE 0 END), 1e0), 6) AS svf_w,
  round(least(sum(CASE WHEN azimuth >= 270 OR azimuth < 90 THEN visible * wd ELSE 0 END), 1e0), 6) AS svf_n FROM v JOIN {_WEIGHTS} USING (patch_id) GROUP BY vec_id""")
 def svf_weighted_patches(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("patch_id", "x")).select("vec_id", "patch_id", (F.col("x") > 0).cast("int").alias("visible"))
-    w = spark.createDataFrame([(i, z, *ww) for i, (z, ww) in enumerate(zip(rays.sky_azimuths(2)[:64], rays.patch_weights(2)[:64]))], "patch_id int, azimuth double, w double, wd double")
+    v = _seen(spark, sf_dir).select("vec_id", "patch_id", (F.col("x") > 0).cast("int").alias("visible"))
+    w = spark.createDataFrame([(i, z, *ww) for i, (z, ww) in enumerate(zip(rays.sky_azimuths(2), rays.patch_weights(2)))], "patch_id int, azimuth double, w double, wd double")
     return rounded(rays.visible_fraction(v, w, ["vec_id"]))
 
 
@@ -216,18 +225,17 @@ def tmrt_from_fluxes(spark, sf_dir):
     return rounded(with_columns(facts(spark, sf_dir).withColumn("l_tax_", F.col("va") / 10), _FLUX).select(*_KEYS, *_FLUX_OUT), 5)
 
 
-_ABOVE = "(SELECT vec_id, CAST(k.range AS INTEGER) AS patch_id, embedding[CAST(k.range AS INTEGER) + 1] AS x FROM embeddings, range(0, 64) k)"
-_P64 = f"(VALUES {', '.join(f'({i}, {num(a)}, {num(z)}, {num(_SR[i])})' for i, _, a, z in rays.patches(2)[:64])}) AS p(patch_id, altitude, azimuth, sr)"
+_P153 = f"(VALUES {', '.join(f'({i}, {num(a)}, {num(z)}, {num(_SR[i])})' for i, _, a, z in rays.patches(2))}) AS p(patch_id, altitude, azimuth, sr)"
 _SUNLIT = radiation.sunlit("50e0", "140e0", "altitude", "azimuth", "0.7e0")
 
 
 @query(f"""SELECT vec_id, round(sum(CASE WHEN x > 0 THEN sr * cos(radians(altitude)) END), 6) AS sky, count(*) FILTER (x <= 0 AND {_SUNLIT[0]}) AS sunlit, count(*) FILTER (x <= 0 AND {_SUNLIT[1]}) AS shaded,
  round(sum(CASE WHEN x <= 0 THEN sr * cos(radians(altitude)) END) * 0.5e0 / pi() * (sum(CASE WHEN x > 0 THEN sr * sin(radians(altitude)) END) + 300e0) * 0.1e0, 6) AS reflected
- FROM {_ABOVE} JOIN {_P64} USING (patch_id) GROUP BY vec_id""")
+ FROM {_SEEN} JOIN {_P153} USING (patch_id) GROUP BY vec_id""")
 def patch_longwave_two_pass(spark, sf_dir):
     """Longwave over patches: the reflected part uses the first pass's sky total, which factors out of the second."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("patch_id", "x"))
-    p = spark.createDataFrame([(i, a, z, _SR[i]) for i, _, a, z in rays.patches(2)[:64]], "patch_id int, altitude double, azimuth double, sr double")
+    v = _seen(spark, sf_dir)
+    p = spark.createDataFrame([(i, a, z, _SR[i]) for i, _, a, z in rays.patches(2)], "patch_id int, altitude double, azimuth double, sr double")
     sky, cosine = F.col("x") > 0, F.col("sr") * F.cos(F.radians("altitude"))
     g = v.join(F.broadcast(p), "patch_id").groupBy("vec_id").agg(
         F.sum(F.when(sky, cosine)).alias("sky"),

@@ -311,3 +311,20 @@ def distinct_shapes(spark, sf_dir):
 def geojson_round_trip(spark, sf_dir):
     back = vector.from_geojson(vector.to_geojson(_squares(scene_table(spark, sf_dir))))
     return back.select("value", F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y"), F.size("ring").alias("points"))
+
+
+@query(f"""WITH s AS (SELECT row, col, CASE WHEN tree > 0 THEN NULL ELSE dsm END AS v FROM {SCENE}),
+n AS (SELECT CAST(ceil((max(row) + 1) / 0.8e0) AS BIGINT) AS r, CAST(ceil((max(col) + 1) / 0.8e0) AS BIGINT) AS c FROM s),
+t AS (SELECT CAST(row AS INTEGER) AS row, CAST(unnest(range(0, c)) AS INTEGER) AS col FROM (SELECT unnest(range(0, r)) AS row, c FROM n)),
+p AS (SELECT row, col, (row + 0.5e0) * 0.8e0 AS y, (col + 0.5e0) * 0.8e0 AS x FROM t),
+k AS (SELECT p.*, CAST(floor(y - 0.5e0) + i AS INTEGER) AS sr, CAST(floor(x - 0.5e0) + j AS INTEGER) AS sc, (1 - abs(y - 0.5e0 - (floor(y - 0.5e0) + i))) * (1 - abs(x - 0.5e0 - (floor(x - 0.5e0) + j))) AS w
+ FROM p, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))
+SELECT k.row, k.col, CASE WHEN bool_or(k.sr = floor(y) AND k.sc = floor(x) AND s.v IS NOT NULL) THEN round(sum(w * s.v) / sum(CASE WHEN s.v IS NOT NULL THEN w END), 5) END AS v
+ FROM k LEFT JOIN s ON s.row = k.sr AND s.col = k.sc GROUP BY k.row, k.col""")
+def resample_bilinear(spark, sf_dir):
+    """The whole scene, without the pixels of trees, on a grid of 0.8 m."""
+    pixels = scene_table(spark, sf_dir).select("row", "col", F.when(~(F.col("tree") > 0), F.col("dsm")).alias("v"))
+    last = pixels.agg(F.max("row").alias("row"), F.max("col").alias("col")).first()
+    rows, cols = (math.ceil((last[n] + 1) / 0.8) for n in ("row", "col"))
+    target = spark.range(rows).select(F.col("id").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("col"))
+    return rounded(grid.resample_bilinear(pixels, [0.0, 1.0, 0.0, 0.0, 0.0, 1.0], target, [0.0, 0.8, 0.0, 0.0, 0.0, 0.8], "v"), 5)
