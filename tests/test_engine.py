@@ -2,6 +2,7 @@
 
 import json
 import math
+import zipfile
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from heliogrid.functions import comfort, humidity, radiation, solar, wind
 from heliogrid.functions.expr import column
 from heliogrid.operators import compare, grid, kernels, rays, scene, tiles, timeline, vector
 from heliogrid.operators.columns import with_columns
-from heliogrid.sources import geotiff, images, landcover, metfile, netcdf3
+from heliogrid.sources import archives, discovery, geotiff, images, landcover, metfile, netcdf3
 
 
 def value(spark, text):
@@ -396,3 +397,36 @@ def test_geojson_files_round_trip(spark, tmp_path):
     vector.write_geojson(f, str(tmp_path / "g"))
     back = vector.from_geojson(spark.read.text(str(tmp_path / "g")), json="value").collect()
     assert {(r["value"], tuple(map(tuple, r["ring"]))) for r in back} == {(12.5, tuple(ring)), (7.0, tuple(ring))}
+
+
+def test_files_are_found_by_direction_and_by_order(spark, tmp_path):
+    for d in range(0, 360, 30):
+        (tmp_path / f"WindCoeff_dir{d:03d}.tif").write_bytes(b"x")
+    (tmp_path / "other.tif").write_bytes(b"x")
+    files = discovery.listing(spark, str(tmp_path), "*.tif")
+    assert sorted(r["direction"] for r in discovery.wind_rasters(files).collect()) == list(range(0, 360, 30))
+    one = discovery.wind_rasters(discovery.listing(spark, str(tmp_path / "other.tif"))).collect()
+    assert [(r["name"], r["direction"]) for r in one] == [("other.tif", None)]
+    assert discovery.first_match(files, ["Building*.tif", "o*.tif", "*.tif"]).endswith("/other.tif")
+    assert discovery.first_match(files, ["Wind*.tif"]).endswith("/WindCoeff_dir000.tif")
+    assert discovery.first_match(files, ["none"]) is None
+    (tmp_path / "WindCoeff_dir030.tif").unlink()
+    with pytest.raises(FileNotFoundError, match="dir030"):
+        discovery.wind_rasters(discovery.listing(spark, str(tmp_path), "*.tif"))
+
+
+def test_archives_of_rasters_and_cubes(spark, tmp_path):
+    a = np.arange(24, dtype=np.float32).reshape(4, 6)
+    r = geotiff.Raster(bands=a[None], gt=[0.0, 1.0, 0.0, 0.0, 0.0, -1.0])
+    with zipfile.ZipFile(tmp_path / "svfs.zip", "w") as z:
+        z.writestr("svf.tif", geotiff.encode(r))
+        z.writestr("note.txt", "no raster")
+    rows = archives.read_rasters(spark, str(tmp_path / "svfs.zip")).orderBy("row").collect()
+    assert np.array_equal([x["values"] for x in rows], a) and {(x["member"], x["band"]) for x in rows} == {("svf.tif", 0)}
+    cube = np.arange(30, dtype=np.uint8).reshape(2, 3, 5)
+    np.savez_compressed(tmp_path / "c.npz", shmat=cube, turned=np.asfortranarray(cube), one=np.float64(2.5))
+    got = archives.read_cubes(spark, str(tmp_path / "c.npz")).orderBy("member", "row").collect()
+    for name in ("shmat", "turned"):
+        mine = [x for x in got if x["member"] == name]
+        assert mine[0]["shape"] == [2, 3, 5] and np.array_equal(np.array([x["values"] for x in mine]).reshape(2, 3, 5), cube)
+    assert [x["values"] for x in got if x["member"] == "one"] == [[2.5]]
