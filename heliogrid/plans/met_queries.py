@@ -10,7 +10,7 @@ from ..functions.expr import column
 from ..operators import grid, timeline
 from ..operators.columns import sql_columns, with_columns
 from ..sources import metfile
-from .fixtures import FACTS, HOURLY, facts, hourly, rounded, table
+from .fixtures import FACTS, HOURLY, facts, hourly, rounded, spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -123,7 +123,7 @@ def _cells(spark, sf_dir):
 def nearest_grid_cell(spark, sf_dir):
     k = F.col("c_custkey")
     points = table(spark, sf_dir, "customer").select(k, ((k * 17 % 360) / 2.0 - 89.8).alias("lon"), ((k * 31 % 170) / 2.0 - 41.9).alias("lat"))
-    return rounded(grid.nearest_cell(points, _cells(spark, sf_dir), "c_custkey"))
+    return rounded(grid.nearest_cell(spread(points), _cells(spark, sf_dir), "c_custkey"))
 
 
 _BOXES = "(SELECT n_nationkey AS box, n_nationkey * 7e0 - 88.3e0 AS min_lon, n_nationkey * 7e0 - 80.1e0 AS max_lon, n_nationkey * 3e0 - 41.2e0 AS min_lat, n_nationkey * 3e0 - 40.1e0 + n_nationkey % 3 * 4e0 AS max_lat FROM nation)"

@@ -430,3 +430,30 @@ def test_archives_of_rasters_and_cubes(spark, tmp_path):
         mine = [x for x in got if x["member"] == name]
         assert mine[0]["shape"] == [2, 3, 5] and np.array_equal(np.array([x["values"] for x in mine]).reshape(2, 3, 5), cube)
     assert [x["values"] for x in got if x["member"] == "one"] == [[2.5]]
+
+
+def test_nearest_cell_of_odd_rows_copies_and_several_trees(spark):
+    rng = np.random.default_rng(4)
+    xy = np.r_[rng.integers(0, 40, (600, 2)) / 2, rng.normal(500, 1e-3, (60, 2))]  # copies, exact ties, a far cluster
+    cells = [(int(k), float(x), float(y)) for k, (x, y) in zip(rng.permutation(len(xy)), xy)]
+    odd = [(-1, None, 1.0), (-2, math.nan, 1.0), (None, 3.25, 3.25)]
+    points = [(int(k), float(x), float(y)) for k, (x, y) in enumerate(np.r_[rng.integers(-20, 120, (300, 2)) / 4, rng.uniform(-900, 900, (200, 2))])]
+    want = {}
+    for k, x, y in points:
+        d2, cell = min((float((x - a) ** 2 + (y - b) ** 2), c) for c, a, b in cells)
+        want[k] = (cell, pytest.approx(d2))
+    p = spark.createDataFrame([*points, (1000, None, 1.0), (1001, math.nan, 1.0)], "k long, lon double, lat double")
+    c = spark.createDataFrame(cells + odd, "cell_id long, lon double, lat double")
+    for bound in (100_000, 150):
+        out = {r.k: (r.cell_id, r.d2) for r in grid.nearest_cell(p, c, "k", bound).collect()}
+        assert out == want | {1000: (None, None), 1001: (None, None)}
+    one = grid.nearest_cell(p, c.filter("cell_id < 0"), "k").filter("cell_id IS NULL AND d2 IS NULL")
+    assert one.count() == len(points) + 2
+    assert grid.nearest_cell(p, c.limit(0), "k").count() == 0
+
+
+def test_nearest_grid_cell_makes_no_table_of_pairs(spark):
+    from heliogrid.plans import met_queries
+
+    plan = met_queries.nearest_grid_cell(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
