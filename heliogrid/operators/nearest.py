@@ -103,12 +103,13 @@ class Sphere:
         order = np.argsort(m, kind="stable")
         return m[order], np.cumsum(count[which][order])
 
-    def spacing(self, i: int, own: int) -> tuple[float, float]:
-        """Least and median distance from place i to all rows but ``own`` of its own."""
+    def spacing(self, i: int, own: int) -> tuple[float, float] | tuple[None, None]:
+        """Least and median distance from place i to all rows but ``own`` of its own; None where there are no others."""
         count = self.count.copy()
         count[i] -= own
         n = self.total - own
-        # A place whose rows are all its own is no neighbour.
+        if n == 0:
+            return None, None
         cosine = self.unit[:, i] @ self.unit
         low, high = cosine.min(), cosine.max()
         bins = int(min(max((high - low) / self.NOISE, 1), max(len(count) // 4, 1)))

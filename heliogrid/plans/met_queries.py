@@ -141,10 +141,7 @@ def bbox_mean_with_fallback(spark, sf_dir):
 @query(f"""WITH c AS {_CELLS}, d AS (SELECT a.cell_id, 2 * 6371000e0 * asin(sqrt(least(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2), 1e0))) AS m
  FROM c a JOIN c b ON a.cell_id <> b.cell_id) SELECT cell_id, round(min(m), 3) AS nearest_m, round(median(m), 3) AS median_m FROM d GROUP BY cell_id""")
 def haversine_cell_size(spark, sf_dir):
-    c = _cells(spark, sf_dir)
-    pairs = c.alias("a").join(F.broadcast(c.alias("b")), F.col("a.cell_id") != F.col("b.cell_id"))
-    m = grid.haversine_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
-    return rounded(pairs.select(F.col("a.cell_id").alias("cell_id"), m.alias("m")).groupBy("cell_id").agg(F.min("m").alias("nearest_m"), F.median("m").alias("median_m")), 3)
+    return rounded(grid.cell_spacing(_cells(spark, sf_dir)), 3)
 
 
 @query(f"SELECT cell_id, CAST(floor((lon + 180) / 6) AS INTEGER) + 1 AS zone, CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + CAST(floor((lon + 180) / 6) AS INTEGER) + 1 AS epsg, round(lon, 6) AS lon, round(lat, 6) AS lat FROM {_CELLS}")

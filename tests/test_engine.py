@@ -457,3 +457,29 @@ def test_nearest_grid_cell_makes_no_table_of_pairs(spark):
 
     plan = met_queries.nearest_grid_cell(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_cell_spacing_matches_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    at = np.r_[rng.uniform([-180, -90], [180, 90], (80, 2)), rng.uniform(0, 1e-4, (40, 2)) + [10, 50], [[-170, -50]] * 2]  # a dense cluster, its antipode
+    at = np.r_[at, at[rng.integers(0, 120, 60)]]  # copies of places
+    cells = [(k, float(x), float(y)) for k, (x, y) in enumerate(at)]
+    cells += cells[:7]  # repeated rows
+    odd = [(None, 1.0, 1.0), (900, None, 3.0), (901, math.nan, 3.0)]
+    schema = "cell_id long, lon double, lat double"
+    c = spark.createDataFrame(cells, schema)
+    m = grid.haversine_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")).alias("m")
+    pairs = c.alias("a").join(c.alias("b"), F.col("a.cell_id") != F.col("b.cell_id")).select("a.cell_id", m)
+    want = {r.cell_id: (pytest.approx(r.x, abs=1e-6), pytest.approx(r.y, abs=0.2)) for r in pairs.groupBy("cell_id").agg(F.min("m").alias("x"), F.median("m").alias("y")).collect()}
+    out = grid.cell_spacing(spark.createDataFrame(cells + odd, schema))
+    assert {r.cell_id: (r.nearest_m, r.median_m) for r in out.collect()} == want | {900: (None, None), 901: (None, None)}
+    assert grid.cell_spacing(c.filter("cell_id = 3")).count() == 0
+    two = grid.cell_spacing(spark.createDataFrame([(1, 0.0, 0.0), (2, None, 0.0)], schema)).collect()
+    assert sorted(tuple(r) for r in two) == [(1, None, None), (2, None, None)]
+
+
+def test_haversine_cell_size_makes_no_table_of_pairs(spark):
+    from heliogrid.plans import met_queries
+
+    plan = met_queries.haversine_cell_size(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
