@@ -4,7 +4,8 @@ Every source has a share of a token budget.  Training time runs from 0 to 1 and
 source's sampling weight follows a piecewise linear schedule over it.  The integral of
 that schedule, scaled to the source's target, is its cumulative token demand; inverting
 it gives each document occurrence the position in time at which its source has used up
-the tokens before it.  Range-sorting occurrences by position yields the training order.
+the tokens before it.  Range-sorting occurrences by position yields the training order,
+and their places in it are their ranks.
 
 Scale.  Documents of a source are laid out in the order of the MD5 of their id.  Its
 first three digits cut each source into 4096 even buckets, so that a source with a third
@@ -94,8 +95,8 @@ def _inverse(fraction: Column, knots: Sequence[tuple[float, float]]) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, keep: Sequence[str] | None = None) -> DataFrame:
     """Decide for each document how often and when the mix takes it.
 
-    Returns one row per row of ``docs`` with the columns ``keep`` (all, if None) and
-    mix_size, mix_source_size, mix_target (its source's), mix_positions: an ascending
+    Returns one row per row of ``docs`` with the columns ``keep`` (all, if None), mix_row
+    (which tells rows apart, also those of one id) and mix_size, mix_source_size, mix_target (its source's), mix_positions: an ascending
     array of the training positions in [0, 1] of its 0 to ``most`` occurrences.  An
     occurrence is taken if the middle of its words lies within its source's target, so
     a source misses its target by half a document at most.
@@ -112,6 +113,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = base.join(offsets, ["mix_null", "mix_name", "mix_bucket"])
     inside = Window.partitionBy("mix_null", "mix_name", "mix_bucket").orderBy("mix_key", "mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("mix_start", F.col("mix_offset") + F.sum("mix_size").over(inside) - F.col("mix_size"))
+    placed = placed.withColumn("mix_row", F.struct("mix_source", "mix_bucket", F.row_number().over(inside).alias("mix_number")))
 
     def position(pass_: Column) -> Column:
         middle = F.col("mix_start") + pass_ * F.col("mix_source_size") + F.col("mix_size") / 2
@@ -123,11 +125,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     taken = [F.when(2 * (F.col("mix_start") + e * F.col("mix_source_size")) + F.col("mix_size") <= 2 * F.col("mix_target"), position(F.lit(e))) for e in range(most)]
     placed = placed.withColumn("mix_positions", F.array_compact(F.array(*taken)))
-    return placed.select(*keep, "mix_size", "mix_source_size", "mix_target", "mix_positions")
+    return placed.select(*keep, "mix_row", "mix_size", "mix_source_size", "mix_target", "mix_positions")
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """One row per occurrence, range-sorted by mix_position; the pass is mix_epoch (from 0)."""
+def training_order(mixed: DataFrame, ties: Sequence[str] = (), absent: bool = False) -> DataFrame:
+    """One row per occurrence, range-sorted by mix_position and then ``ties``; the pass is mix_epoch (from 0).
+
+    With ``absent``, documents that the mix never takes follow at the end, with null positions.
+    """
     columns = [c for c in mixed.columns if c != "mix_positions"]
-    out = mixed.select(*columns, F.posexplode("mix_positions").alias("mix_epoch", "mix_position"))
-    return out.repartitionByRange("mix_position").sortWithinPartitions("mix_position")
+    explode = F.posexplode_outer if absent else F.posexplode
+    out = mixed.select(*columns, explode("mix_positions").alias("mix_epoch", "mix_position"))
+    by = [F.col("mix_position").asc_nulls_last(), *ties]
+    return out.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
+def ranked(ordered: DataFrame) -> DataFrame:
+    """Adds mix_rank, the place in the training order, gapless from 0; null for documents never taken.
+
+    The order is written once, so the partitions that are counted are those that are numbered.
+    """
+    placed = written(ordered.withColumn("mix_at", F.monotonically_increasing_id()), "mix-order")
+    placed = placed.withColumn("mix_part", F.shiftright("mix_at", 33))  # the upper bits are the partition, the lower the row
+    before = Window.orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("mix_part").agg(F.count(F.lit(1)).alias("n")).select("mix_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_before"))
+    rank = F.when(F.col("mix_position").isNotNull(), F.col("mix_before") + F.col("mix_at").bitwiseAND((1 << 33) - 1))
+    return placed.join(F.broadcast(parts), "mix_part").withColumn("mix_rank", rank).drop("mix_part", "mix_at", "mix_before")
+
+
+def per_document(order: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """One row per document of a ranked order: the words taken by its occurrences and the position of the first."""
+    taken = F.sum(F.when(F.col("mix_rank").isNotNull(), F.col("mix_size")).otherwise(0))
+    first = F.min_by("mix_position", "mix_rank")
+    return order.groupBy("mix_row", *keep, "mix_size", "mix_source_size", "mix_target").agg(taken.alias("mix_taken"), first.alias("mix_position"))

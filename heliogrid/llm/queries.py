@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard, langid, lm, mixing, nearvec, packing, quality, sharding, urltree, warc
+from .storage import written
 
 
 #: Arrow batches: texts are long, so Spark's default of 10,000 rows takes much memory.
@@ -65,8 +66,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_positions")).alias("taken"), F.round(F.try_element_at("mix_positions", F.lit(1)), 6).alias("position"))
+    mixed = written(mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"]), "mix")  # the range sort reads it twice
+    order = mixing.ranked(mixing.training_order(mixed, ties=["mix_row"], absent=True))
+    out = mixing.per_document(order, ["doc_id"])
+    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.round("mix_position", 6).alias("position"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

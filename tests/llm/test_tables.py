@@ -123,6 +123,31 @@ def test_mixing(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mixing_rows_come_from_the_training_order(spark, tmp_path, monkeypatch):
+    from heliogrid.llm import queries
+
+    rng = np.random.default_rng(6)
+    rows = [(k // 2, "w " * int(n), "en", s, 9, "x") for k, (n, s) in enumerate(zip(rng.integers(0, 30, 300), rng.choice(["a", "b", "c"], 300, p=[0.4, 0.2, 0.4])))]
+    rows += [(None, "z z", "en", "b", 1, "x"), (None, "z z", "en", "b", 1, "x"), (None, "z", "en", None, 1, "x"), (9, None, None, "d", 1, "x")]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = mixing.mix(docs)
+    order = mixing.ranked(mixing.training_order(mixed, ["mix_row"], absent=True)).toPandas().sort_values("mix_rank")
+    taken = order[order.mix_rank.notna()]
+    assert taken.mix_rank.astype(int).tolist() == list(range(len(taken))) and taken.mix_position.is_monotonic_increasing
+    assert len(order) > len(taken) and order.mix_row.map(str).nunique() == len(rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    seen, real = [], mixing.training_order
+    monkeypatch.setattr(mixing, "training_order", lambda *a, **b: seen.append(1) or real(*a, **b))
+    out = queries.op8_mixing(spark, str(tmp_path)).toPandas()
+    assert seen
+    want = [(r.doc_id, r.mix_size, r.mix_size * len(r.mix_positions), round(r.mix_positions[0], 6) if r.mix_positions else None) for r in mixed.collect()]
+    got = [(None if d != d else int(d), n, t, None if p != p else p) for d, n, t, p in zip(out.doc_id, out["size"], out.taken, out.position)]
+    assert sorted(want, key=str) == sorted(got, key=str)
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    assert queries.op8_mixing(spark, str(empty)).count() == 0
+
+
 def test_sharding(spark):
     rng = np.random.default_rng(2)
     rows = [(k, "t" * int(n) + str(k)) for k, n in enumerate(rng.integers(1, 400, 3000))] + [(5000 + k, "copy " * 20) for k in range(100)] + [(6000, None), (6001, ""), (None, "x"), (6002, "x"), (6002, "x")]
